@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.llm.storage import small_batches
+
 WINDOW, NEAR, POINTS = 48, 48, 12
 #: Texts under so many bytes have too few windows to choose from: all their windows of GRAM bytes are features.
 SHORT, GRAM = 192, 8
@@ -208,6 +210,8 @@ def encode(chain: np.ndarray) -> str:
 def corpus_ranks(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
     """Rarity of each entropy step over all windows of all texts: STEPS counts, summed on the executors."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(STEPS, dtype=np.int64)
         for b in batches:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.llm.storage import small_batches
+
 #: A text is parsed in blocks of so many normalised characters; a phrase ends with its block.
 BLOCK = 4096
 #: Raw characters taken into memory at once.
@@ -112,7 +114,7 @@ def _compiled(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     for ref in model.refs:
         codes = _normal(["\n" + ref.lower()], code)[0]
         nxt = suffix_automaton(codes.tolist())
-        t = np.full((len(nxt), width), -1, dtype=np.int64)
+        t = np.full((len(nxt), width), -1, dtype=np.int32)
         for s, edges in enumerate(nxt):
             for c, q in edges.items():
                 t[s, c] = (base + q) * width * 2
@@ -121,8 +123,10 @@ def _compiled(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         roots.append(base * width)
         logs.append(math.log2(len(codes) + 2))
         base += len(nxt)
+    if base * width * 2 >= 2**31:
+        raise ValueError("ref_chars times languages is too large")
     table = np.concatenate(tables).ravel()
-    return code, table.astype(np.int32 if table.max(initial=0) < 2**31 else np.int64), np.array(roots), np.array(logs)
+    return code, table, np.array(roots), np.array(logs)
 
 
 def _normal(units: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,6 +217,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     through untouched.
     """
     added = {"lang_pred": "string", "score": "double", "bits_per_char": "double"}
+    small_batches(docs.sparkSession)
     kept = docs.drop(*added)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{k} {v}" for k, v in added.items())])
 

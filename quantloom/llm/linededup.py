@@ -114,7 +114,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     grouped = table.groupBy("rid", "doc", "island").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
     found = materialize(grouped.mapInPandas(_intervals(levels), f"rid long, doc {kind}, pos int, first int, last int, n int, a long, z long"))
     order = F.struct(F.col("doc").isNull().alias("absent"), "doc", "rid", "pos")
-    heads = found.groupBy("n", "a", "z").agg(F.min(order).alias("head"), F.count("*").alias("members")).where("members > 1")
+    heads = materialize(found.groupBy("n", "a", "z").agg(F.min(order).alias("head"), F.count("*").alias("members")).where("members > 1").drop("members"))
     return found.join(heads, ["n", "a", "z"]).where(order > F.col("head")).select("rid", "first", "last").distinct()
 
 

@@ -20,20 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantloom.llm.storage import materialize
+from quantloom.llm.storage import materialize, small_batches
 
 SPECIAL = "<|endoftext|>"
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, object] = {}
 
 
 def encoder(path: str, ranks_path: str | None):
     """Text to ids of the tokenizers file at ``path``; ``ranks_path``, the same vocabulary as ranks, serves a faster reader of it."""
-    import tokenizers
 
-    if (path, ranks_path) not in _encoders:
-        slow = tokenizers.Tokenizer.from_file(path)
-        fast = None
-        if ranks_path:
+    def slow() -> object:
+        if path not in _encoders:
+            import tokenizers
+
+            _encoders[path] = tokenizers.Tokenizer.from_file(path)
+        return _encoders[path]
+
+    def fast() -> object:
+        if ranks_path not in _encoders:
             import base64
 
             import public_tokenizers
@@ -41,14 +45,13 @@ def encoder(path: str, ranks_path: str | None):
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("quantloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[path, ranks_path] = (slow, fast)
-    slow, fast = _encoders[path, ranks_path]
+            _encoders[ranks_path] = tiktoken.Encoding("quantloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return _encoders[ranks_path]
 
     def run(text: str) -> list[int]:
-        if fast is None or SPECIAL in text:
-            return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        if ranks_path is None or SPECIAL in text:
+            return slow().encode(text, add_special_tokens=False).ids
+        return fast().encode_ordinary(text)
 
     return run
 
@@ -58,6 +61,7 @@ def pieces(docs: DataFrame, *, path: str, ranks_path: str | None = None, length:
 
     Null texts are empty: one piece that holds the end id only.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
 

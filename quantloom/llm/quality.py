@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quantloom.llm.storage import materialize
+from quantloom.llm.storage import materialize, small_batches
 
 #: Classes of ASCII characters; bytes from 128 on are counted as letters' bytes.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "line": b"\n", "stop": b".?!", "loud": b"!", "comma": b",;:", "symbol": b"#*$%&|<>^~=+_\\/", "bar": b"|", "mark": b"#*$%&<>", "quote": b"\"'`()[]{}", "at": b"@", "high": bytes(range(128, 256))}
@@ -45,6 +45,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 def features(docs: DataFrame, keys: list[str], *, text_col: str = "text") -> DataFrame:
     """``keys`` and ``x`` (array of FEATURES) for every row."""
+    small_batches(docs.sparkSession)
     schema = docs.select(*keys).schema.add("x", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.storage import materialize
+from quantloom.llm.storage import materialize, small_batches
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_loud", "n_unique_words")
 #: A candidate condition's name and its expression over STATS.
@@ -54,6 +54,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
 
 def statistics(docs: DataFrame, keys: list[str], *, text_col: str = "text") -> DataFrame:
     """``keys`` and STATS (long) of every row."""
+    small_batches(docs.sparkSession)
     schema = docs.select(*keys).schema
     for k in STATS:
         schema = schema.add(k, "long")

@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import components
-from quantloom.llm.storage import materialize
+from quantloom.llm.storage import materialize, small_batches
 
 BITS = 64
 #: Pairs that a task compares at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 
 def fingerprint(text: str | None, *, shingle: int = 4, seed: int = 42) -> int:
@@ -50,6 +50,7 @@ def fingerprint(text: str | None, *, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, keys: list[str], *, text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``keys`` and ``fp``, the fingerprint as a signed long, for every row."""
+    small_batches(docs.sparkSession)
     schema = docs.select(*keys).schema.add("fp", "long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +153,7 @@ def links(distinct: DataFrame, *, max_bits: int = 4, parts: int = 3, block: int
     """Edges ``u``, ``v`` that connect what is within ``max_bits`` among the distinct ``fp``; trees, not all pairs."""
     own, seen = _cells(max_bits, parts)
     rows = distinct.select("fp", F.explode(F.concat(F.transform(own, lambda c: F.struct(c.alias("cell"), F.lit(0).alias("role"))), F.transform(seen, lambda c: F.struct(c.alias("cell"), F.lit(1).alias("role"))))).alias("x")).select("fp", "x.cell", "x.role")
-    crowded = distinct.select(F.explode(own).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    crowded = materialize(distinct.select(F.explode(own).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     rows = rows.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = rows.select("fp", "cell", "role", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -165,7 +166,7 @@ def classes(prints: DataFrame, *, id_col: str = "doc_id", max_bits: int = 4) ->
     distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("low")))
     roots = components(links(distinct, max_bits=max_bits)).withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = materialize(placed.groupBy("root").agg(F.min("low").alias("component_id")))
     known = materialize(placed.join(lowest, "root").select("fp", "component_id"))
     return prints.join(known, "fp")
 

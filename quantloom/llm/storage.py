@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python workers in batches of at most ``rows``, so that two workers fit beside an executor's heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows or int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 0:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; readers see one fixed result."""
     spark = df.sparkSession
