@@ -108,5 +108,6 @@ def horizons(prices: DataFrame, days: tuple[int, ...] = (1, 5, 20, 60), least: i
     """On the last fifth of each ticker with ``least`` rows: share of rises, mean of the positive returns, sample size, by horizon."""
     part = split(prices).where((F.col("n") >= least) & (F.col("split") == "test"))
     w = over()
-    ahead = part.select("ticker", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), (F.lead("close", h).over(w) / F.nullif(F.col("close"), F.lit(0.0)) - 1).alias("r")) for h in days))).alias("x")).select("ticker", "x.horizon", "x.r")
+    wide = part.withColumns({f"_r{h}": F.lead("close", h).over(w) / F.nullif(F.col("close"), F.lit(0.0)) - 1 for h in days})
+    ahead = wide.select("ticker", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"_r{h}").alias("r")) for h in days))).alias("x")).select("ticker", "x.horizon", "x.r")
     return ahead.where("r is not null").groupBy("ticker", "horizon").agg(share(F.col("r") > 0).alias("p_up"), (F.coalesce(F.avg(F.when(F.col("r") > 0, F.col("r"))), F.lit(0.0)) * 100).alias("e_ret"), F.count("*").alias("samples"))

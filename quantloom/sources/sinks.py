@@ -31,7 +31,7 @@ def write_json(batch: DataFrame, path: str, *, by: str | None = None) -> None:
 
 def summary_lines(batch: DataFrame) -> DataFrame:
     """``line``: one text line a ticker."""
-    return batch.select("ticker", F.format_string("%s: %s (%.2f, agreement %.2f)", "ticker", "signal", "combined", "agreement").alias("line"))
+    return batch.select(F.format_string("%s: %s (%.2f, agreement %.2f)", "ticker", "signal", "combined", "agreement").alias("line"))
 
 
 def html_report(batch: DataFrame, *, title: str = "Daily signals", most: int = 10_000) -> str:
