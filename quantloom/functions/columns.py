@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,17 +41,21 @@ def given(x: Column | str) -> Column:
     return col(x).isNotNull() & (col(x) != 0)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, with ``x`` computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def phrase_count(text: Column, phrases: list[str]) -> Column:
     """Non-overlapping occurrences of all phrases, summed; a listed phrase counts as often as it is listed."""
-    total = F.lit(0)
-    for p in phrases:
-        total = total + ((F.length(text) - F.length(F.replace(text, F.lit(p), F.lit("")))) / len(p)).cast("int")
-    return total
+    listed = F.array(*map(F.lit, phrases))
+
+    def count(t: Column) -> Column:
+        return F.aggregate(listed, F.lit(0), lambda n, p: n + ((F.length(t) - F.length(F.replace(t, p, F.lit("")))) / F.length(p)).cast("int"))
+
+    return once(text, count)
 
 
 def phrase_hits(text: Column, phrases: list[str]) -> Column:
-    """How many of the listed phrases occur; a phrase listed twice counts twice."""
-    total = F.lit(0)
-    for p in phrases:
-        total = total + text.contains(p).cast("int")
-    return total
+    """How many of the listed phrases occur; a phrase listed twice counts twice. Null has none."""
+    return once(text, lambda t: F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: t.contains(p))))
