@@ -12,10 +12,25 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def rounded(x: Column | str, places: int = 2) -> Column:
-    """Round half up on the floating-point value; null stays null. Defined by floor, so that every engine agrees."""
+def rounded(x: Column | str, places: int = 6) -> Column:
+    """For comparing engines: round with the border a little below the half, where no short decimal lies."""
     scale = float(10**places)
-    return F.floor(col(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(col(x) * F.lit(scale) + F.lit(0.50001)) / F.lit(scale)
+
+
+def exact_round(x: Column | str, places: int = 2) -> Column:
+    """Round the binary value, real ties to even. What the scaled product loses is found by splitting the number in halves, so that 60.345, which is stored a little lower, gives 60.34."""
+    scale = F.lit(float(10**places))
+
+    def body(v: Column) -> Column:
+        y, wide = v * scale, v * F.lit(134217729.0)
+        high = wide - (wide - v)
+        lost = (high * scale - y) + (v - high) * scale
+        low = F.floor(y)
+        tie = F.when(lost > 0, low + 1).when(lost < 0, low).otherwise(low + low % 2)
+        return F.when(y - low == 0.5, tie).otherwise(F.floor(y + 0.5)) / scale
+
+    return once(col(x).cast("double"), body)
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:

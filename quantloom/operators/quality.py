@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import lexicons as lex
-from quantloom.functions.columns import ladder, rounded
+from quantloom.functions.columns import exact_round, ladder
 
 
 def price_errors(price: Column, date: Column) -> tuple[Column, Column]:
@@ -65,7 +65,7 @@ def metric_conflict(values: DataFrame, keys: list[str], official: int | str | No
 def outliers(values: DataFrame, means: DataFrame, keys: list[str]) -> DataFrame:
     """Values that deviate from their key's mean by more than 15 %."""
     out = values.join(means.select(*keys, "mean"), keys).withColumn("deviation", F.abs(F.col("value") - F.col("mean")) / F.nullif(F.abs("mean"), F.lit(0.0)) * 100)
-    return out.where("deviation > 15").withColumn("deviation", rounded("deviation"))
+    return out.where("deviation > 15").withColumn("deviation", exact_round("deviation"))
 
 
 def date_conflict(values: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.columns import clamp, given, ladder, rounded
+from quantloom.functions.columns import clamp, exact_round, given, ladder
 
 D = F.lit
 
@@ -25,7 +25,7 @@ def band_score(price: Column, upper: Column, middle: Column, lower: Column) -> C
 
 def technical(frame: DataFrame, *, least: int = 70) -> DataFrame:
     """Adds ``score``, ``signal``, ``confidence`` from ``rsi, histogram, close, upper, sma, lower, n_rows``; too few rows or a missing part: 50, HOLD, 40."""
-    raw = rounded(0.40 * rsi_score(F.col("rsi")) + 0.35 * macd_score(F.col("histogram")) + 0.25 * band_score(F.col("close"), F.col("upper"), F.col("sma"), F.col("lower")))
+    raw = exact_round(0.40 * rsi_score(F.col("rsi")) + 0.35 * macd_score(F.col("histogram")) + 0.25 * band_score(F.col("close"), F.col("upper"), F.col("sma"), F.col("lower")))
     out = frame.withColumn("_raw", F.when(F.col("n_rows") >= least, raw))
     out = out.withColumn("score", F.coalesce("_raw", D(50.0))).withColumn("signal", F.when(F.col("_raw").isNull(), "HOLD").otherwise(buy_sell(F.col("_raw"), 65, 35)))
     return out.withColumn("confidence", F.when(F.col("_raw").isNull(), 40).otherwise(85)).drop("_raw")
@@ -59,7 +59,7 @@ def fundamental(frame: DataFrame) -> DataFrame:
     """Adds ``profit, leverage, insider, score, signal, confidence`` from ``revenue, de_ratio, insiders``; all missing: 50, HOLD, 20."""
     none = F.col("revenue").isNull() & F.col("de_ratio").isNull() & F.col("insiders").isNull()
     out = frame.withColumn("profit", profit_score("revenue")).withColumn("leverage", leverage_score("de_ratio")).withColumn("insider", insider_score("insiders"))
-    out = out.withColumn("score", F.when(none, 50.0).otherwise(rounded(0.40 * F.col("profit") + 0.35 * F.col("leverage") + 0.25 * F.col("insider"))))
+    out = out.withColumn("score", F.when(none, 50.0).otherwise(exact_round(0.40 * F.col("profit") + 0.35 * F.col("leverage") + 0.25 * F.col("insider"))))
     return out.withColumn("signal", F.when(none, "HOLD").otherwise(buy_sell(F.col("score"), 70, 40))).withColumn("confidence", F.when(none, 20).otherwise(95))
 
 
@@ -124,13 +124,13 @@ def attractiveness(frame: DataFrame) -> DataFrame:
 
 
 def combined(tech: Column, fund: Column, news: Column) -> Column:
-    return rounded(0.25 * tech + 0.50 * fund + 0.25 * news)
+    return exact_round(0.25 * tech + 0.50 * fund + 0.25 * news)
 
 
 def agreement(tech: Column, fund: Column, news: Column) -> Column:
     spread = F.greatest(tech, fund, news) - F.least(tech, fund, news)
     strength = F.least(D(100.0), F.abs(combined(tech, fund, news) - 50.0) / 50.0 * 100.0)
-    return rounded(clamp(0.6 * F.greatest(D(0.0), 100.0 - spread) + 0.4 * strength))
+    return exact_round(clamp(0.6 * F.greatest(D(0.0), 100.0 - spread) + 0.4 * strength))
 
 
 def signal(frame: DataFrame) -> DataFrame:
@@ -141,9 +141,9 @@ def signal(frame: DataFrame) -> DataFrame:
 
 def signal_v3(frame: DataFrame) -> DataFrame:
     """Weights 25, 55, 10, 10 of ``tech, fund, reliability, confidence``; votes of the three signals for the final one."""
-    out = frame.withColumn("combined", rounded(0.25 * F.col("tech") + 0.55 * F.col("fund") + 0.10 * F.col("reliability") + 0.10 * F.col("confidence"))).withColumn("signal", buy_sell(F.col("combined"), 68, 35))
+    out = frame.withColumn("combined", exact_round(0.25 * F.col("tech") + 0.55 * F.col("fund") + 0.10 * F.col("reliability") + 0.10 * F.col("confidence"))).withColumn("signal", buy_sell(F.col("combined"), 68, 35))
     votes = F.size(F.filter(F.array("tech_signal", "fund_signal", "news_signal"), lambda x: x == F.col("signal")))
-    return out.withColumn("confidence_pct", rounded(votes / 3.0 * 100))
+    return out.withColumn("confidence_pct", exact_round(votes / 3.0 * 100))
 
 
 def freshness(hours: Column | str) -> Column:
@@ -156,7 +156,7 @@ def signal_conflict(*signals: str) -> Column:
 
 
 def reliability(fresh: Column, conflict: Column) -> Column:
-    return rounded(0.40 * fresh + 0.35 * conflict + D(25.0))
+    return exact_round(0.40 * fresh + 0.35 * conflict + D(25.0))
 
 
 def accuracy_score(x: Column | str) -> Column:
@@ -164,7 +164,7 @@ def accuracy_score(x: Column | str) -> Column:
 
 
 def confidence(accuracy: Column, quality: Column) -> Column:
-    return rounded(0.65 * accuracy_score(accuracy) + 0.35 * quality)
+    return exact_round(0.65 * accuracy_score(accuracy) + 0.35 * quality)
 
 
 def confidence_level(x: Column | str) -> Column:

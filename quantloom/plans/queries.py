@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,28 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def exact(sql: str) -> str:
+    """Writes the short forms of rounding out: ``floor(E * 100 + 0.5::DOUBLE) / 100`` as rounding of the binary value, others with the border of ``rounded``."""
+    mark = " * 100 + 0.5::DOUBLE) / 100"
+    while (end := sql.find(mark + " ")) >= 0 or (end := sql.find(mark + ")")) >= 0 or (end := sql.find(mark + ",")) >= 0 or (end := sql.find(mark + "\n")) >= 0:
+        start, depth = end, 1
+        while depth:
+            start -= 1
+            depth += {")": 1, "(": -1}.get(sql[start], 0)
+        head = start - len("floor")
+        y, high = "x * 100.0::DOUBLE", "(x * 134217729.0::DOUBLE - (x * 134217729.0::DOUBLE - x))"
+        lost = f"(({high} * 100.0::DOUBLE - {y}) + (x - {high}) * 100.0::DOUBLE)"
+        tie = f"CASE WHEN {lost} > 0 THEN floor({y}) + 1 WHEN {lost} < 0 THEN floor({y}) ELSE floor({y}) + floor({y}) % 2 END"
+        body = f"CASE WHEN {y} - floor({y}) = 0.5::DOUBLE THEN {tie} ELSE floor({y} + 0.5::DOUBLE) END / 100.0::DOUBLE"
+        sql = f"{sql[:head]}list_transform([CAST({sql[start + 1 : end]} AS DOUBLE)], lambda x: {body})[1]{sql[end + len(mark) :]}"
+    return re.sub(r"(\* 10+(?:::DOUBLE)? \+ 0\.5)(::DOUBLE)", r"\g<1>0001\2", sql)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[f.__name__] = exact(sql)
         return f
 
     return add
@@ -95,7 +113,7 @@ def last_n(spark, sf_dir):
     return indicators.last_rows(_bars(spark, sf_dir), 150).select("ticker", F.col("bar_date").cast("string").alias("bar_date"), *r6("close"))
 
 
-@query("SELECT user_id AS ticker, count(*) AS filings, count_if(event_type = 'purchase') AS form4, count_if(event_type = 'purchase' AND CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 7) AS recent_form4 FROM events GROUP BY user_id")
+@query("SELECT user_id AS ticker, count(*) AS filings, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS form4, count(CASE WHEN event_type = 'purchase' AND CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 7 THEN 1 END) AS recent_form4 FROM events GROUP BY user_id")
 def agg_filtered_count(spark, sf_dir):
     """Form-4 count of the newest days by company (the test data spans a month: 7 days in place of 90)."""
     f = tables.filings(spark, sf_dir)
@@ -492,7 +510,7 @@ def dq_metric(spark, sf_dir):
     return _metrics(spark, sf_dir).select("o_orderkey", "metric", "quality")
 
 
-@query(f"WITH {METRICS} SELECT metric, count(*) AS values, count_if(quality = 0) AS errors, count_if(quality BETWEEN 1 AND 99) AS warnings, floor(avg(quality) * 10 + 0.5::DOUBLE) / 10 AS quality, CASE WHEN count_if(quality = 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM dq GROUP BY 1")
+@query(f"WITH {METRICS} SELECT metric, count(*) AS values, count(CASE WHEN quality = 0 THEN 1 END) AS errors, count(CASE WHEN quality BETWEEN 1 AND 99 THEN 1 END) AS warnings, floor(avg(quality) * 10 + 0.5::DOUBLE) / 10 AS quality, CASE WHEN count(CASE WHEN quality = 0 THEN 1 END) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM dq GROUP BY 1")
 def dq_report(spark, sf_dir):
     q = F.col("quality")
     out = _metrics(spark, sf_dir).groupBy("metric").agg(F.count("*").alias("values"), F.count_if(q == 0).alias("errors"), F.count_if(q.between(1, 99)).alias("warnings"), rounded(F.avg(q), 1).alias("quality"))
@@ -543,7 +561,7 @@ def cf_stale(spark, sf_dir):
     return quality.date_conflict(tables.source_values(spark, sf_dir), ["metric"])
 
 
-@query(f"WITH {CF} SELECT metric % 25 AS ticker, count_if(severity = 'CRITICAL') AS criticals, count_if(severity = 'WARNING') AS warnings, greatest(0, 100 - 10 * count_if(severity = 'CRITICAL') - 5 * count_if(severity = 'WARNING')) AS reliability, CASE WHEN count_if(severity = 'CRITICAL') > 0 THEN 'ISSUES_FOUND' ELSE 'CLEAN' END AS status FROM c GROUP BY 1")
+@query(f"WITH {CF} SELECT metric % 25 AS ticker, count(CASE WHEN severity = 'CRITICAL' THEN 1 END) AS criticals, count(CASE WHEN severity = 'WARNING' THEN 1 END) AS warnings, greatest(0, 100 - 10 * count(CASE WHEN severity = 'CRITICAL' THEN 1 END) - 5 * count(CASE WHEN severity = 'WARNING' THEN 1 END)) AS reliability, CASE WHEN count(CASE WHEN severity = 'CRITICAL' THEN 1 END) > 0 THEN 'ISSUES_FOUND' ELSE 'CLEAN' END AS status FROM c GROUP BY 1")
 def cf_report(spark, sf_dir):
     found = quality.metric_conflict(tables.source_values(spark, sf_dir), ["metric"]).withColumn("ticker", F.col("metric") % 25)
     return quality.conflict_report(found, ["ticker"])
@@ -664,7 +682,7 @@ def sink_text_summary(spark, sf_dir):
     return sinks.summary_lines(analyze(spark, sf_dir))
 
 
-@query(f"{COMBINED} SELECT count(*) AS tickers, count_if(signal = 'BUY') AS buys, count_if(combined IS NULL) AS errors, 'OPERATIONAL' AS health FROM sg")
+@query(f"{COMBINED} SELECT count(*) AS tickers, count(CASE WHEN signal = 'BUY' THEN 1 END) AS buys, count(CASE WHEN combined IS NULL THEN 1 END) AS errors, 'OPERATIONAL' AS health FROM sg")
 def dash_status(spark, sf_dir):
     return sinks.status(analyze(spark, sf_dir))
 
