@@ -30,15 +30,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line with a word: ``rid`` (document row), ``doc``, ``raw`` and ``pos`` (its number among all lines, and those with a word), ``line`` (ID), ``words``.
+    """One row for each line with a word: ``rid`` (document row), ``doc``, ``raw`` and ``pos`` (its number among all lines, and those with a word), ``stop`` (the last of the blank lines that follow it), ``line`` (ID), ``words``.
 
     A row is known by its id and text: repeated rows are one document.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("raw"), x.alias("x")))
     full = F.filter(split, lambda s: s["x"].rlike(WORD))
-    lines = rows.select(F.xxhash64("doc", "text").alias("rid"), "doc", F.posexplode(full).alias("pos", "s"))
-    return lines.select("rid", "doc", "pos", F.col("s.raw").alias("raw"), F.xxhash64("s.x").alias("line"), F.regexp_count("s.x", F.lit(WORD)).alias("words")).withColumn("words", F.col("words").cast("int"))
+    # explode keeps the lines from being split anew for every use of them
+    held = rows.select(F.xxhash64("doc", "text").alias("rid"), "doc", F.size(F.split("text", "\n")).alias("n"), F.explode(F.array(full)).alias("full"))
+    stop = lambda i: F.coalesce(F.get("full", i + 1)["raw"], F.col("n")) - 1
+    lines = held.select("rid", "doc", F.posexplode(F.transform("full", lambda s, i: F.struct(s["raw"].alias("raw"), stop(i).alias("stop"), s["x"].alias("x")))).alias("pos", "s"))
+    return lines.select("rid", "doc", "pos", F.col("s.raw").alias("raw"), F.col("s.stop").alias("stop"), F.xxhash64("s.x").alias("line"), F.regexp_count("s.x", F.lit(WORD)).alias("words")).withColumn("words", F.col("words").cast("int"))
 
 
 def _ranks(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,13 +63,13 @@ def _islands(min_words: int):
         for b in batches:
             out = []
             for rid, doc, rows in zip(b["rid"], b["doc"], b["rows"], strict=True):
-                got = np.array([(r["pos"], r["raw"], r["words"], r["rank"]) for r in rows], dtype=np.int64)
+                got = np.array([(r["pos"], r["raw"], r["words"], r["rank"], r["stop"]) for r in rows], dtype=np.int64)
                 cut = np.flatnonzero(np.diff(got[:, 0]) != 1) + 1
                 for part in np.split(got, cut):
                     if part[:, 2].sum() < min_words:
                         continue
                     right, left = _reach(part[:, 2], min_words), _reach(part[::-1, 2], min_words)[::-1]
-                    out.append(pd.DataFrame({"rid": rid, "doc": doc, "island": part[0, 0], "deep": max(right.max(), left.max()), "pos": part[:, 0], "raw": part[:, 1], "right": right, "left": left, "r0": part[:, 3]}))
+                    out.append(pd.DataFrame({"rid": rid, "doc": doc, "island": part[0, 0], "deep": max(right.max(), left.max()), "pos": part[:, 0], "raw": part[:, 1], "stop": part[:, 4], "right": right, "left": left, "r0": part[:, 3]}))
             if out:
                 yield pd.concat(out)
 
@@ -88,7 +91,7 @@ def _intervals(levels: int):
                             k = int(n).bit_length() - 1
                             a, z = rank[k][s], rank[k][s + n - (1 << k)]
                             if a is not None and z is not None:
-                                out.append((rid, doc, rows[s]["pos"], rows[s]["raw"], rows[s + n - 1]["raw"], n, a, z))
+                                out.append((rid, doc, rows[s]["pos"], rows[s]["raw"], rows[s + n - 1]["stop"], n, a, z))
             yield pd.DataFrame(out, columns=["rid", "doc", "pos", "first", "last", "n", "a", "z"])
 
     return run
@@ -98,9 +101,9 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Spans of lines to delete: ``rid``, ``first``, ``last`` (line numbers, both included)."""
     kind = dict(docs.dtypes)[id_col]
     lines = materialize(sequences(docs, id_col=id_col, text_col=text_col).distinct())
-    named = lines.join(_ranks(lines, ["line"]), "line").select("rid", "doc", "pos", "raw", "words", "rank")
-    per_doc = named.groupBy("rid", "doc").agg(F.sort_array(F.collect_list(F.struct("pos", "raw", "words", "rank"))).alias("rows"))
-    table = materialize(per_doc.mapInPandas(_islands(min_words), f"rid long, doc {kind}, island long, deep int, pos int, raw int, right int, left int, r0 long"))
+    named = lines.join(_ranks(lines, ["line"]), "line").select("rid", "doc", "pos", "raw", "stop", "words", "rank")
+    per_doc = named.groupBy("rid", "doc").agg(F.sort_array(F.collect_list(F.struct("pos", "raw", "stop", "words", "rank"))).alias("rows"))
+    table = materialize(per_doc.mapInPandas(_islands(min_words), f"rid long, doc {kind}, island long, deep int, pos int, raw int, stop int, right int, left int, r0 long"))
     deepest = table.agg(F.max("deep")).first()[0] or 0
     levels = 1
     island = Window.partitionBy("rid", "island").orderBy("pos")
@@ -110,7 +113,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         met = pairs.join(_ranks(pairs, ["here", "on"]), ["here", "on"]).select("rid", "island", "pos", F.col("rank").alias(f"r{levels}"))
         table = materialize(table.join(met, ["rid", "island", "pos"], "left"))
         levels += 1
-    fields = ["pos", "raw", "right", "left", *(f"r{k}" for k in range(levels))]
+    fields = ["pos", "raw", "stop", "right", "left", *(f"r{k}" for k in range(levels))]
     grouped = table.groupBy("rid", "doc", "island").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
     found = materialize(grouped.mapInPandas(_intervals(levels), f"rid long, doc {kind}, pos int, first int, last int, n int, a long, z long"))
     order = F.struct(F.col("doc").isNull().alias("absent"), "doc", "rid", "pos")
@@ -123,7 +126,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Copies are ordered by id, then text, then line; a null id comes last. Runs
     may overlap their own copy. Lines are compared whole and byte by byte (as
-    64-bit names), blank lines within a deleted run go with it, and those elsewhere stay.
+    64-bit names); blank lines within a deleted run or after it go with it, those elsewhere stay.
     Null texts stay null with no lines; rows repeated with the same id and text
     are one document and come out alike. Other columns pass through, and input columns named as the two counts are replaced.
     """
