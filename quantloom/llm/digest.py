@@ -237,14 +237,15 @@ def fingerprint(docs: DataFrame, rank: np.ndarray, *, text_col: str = "text") ->
     return kept.mapInPandas(run, schema)
 
 
-def in_order(spark: SparkSession, docs: DataFrame, *, id_col: str, text_col: str, rows_per_range: int = 8192) -> DataFrame:
+def in_order(spark: SparkSession, docs: DataFrame, *, id_col: str, text_col: str, rows_per_range: int = 8192, most_ranges: int = 4096) -> DataFrame:
     """``id``, ``text``, ``extra`` dealt by ranges of descending id (nulls last), sorted, each range followed by the next one's first row (``extra``).
 
     The ranges' bounds are id quantiles; the first rows, one a range, are read again by their ids. The last range is followed by the first row of all.
+    ``most_ranges`` bounds the plan; larger ranges are sorted on disk and streamed, so they need no more memory.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     n = rows.count()
-    ranges = max(1, math.ceil(n / rows_per_range))
+    ranges = max(1, min(most_ranges, math.ceil(n / rows_per_range)))
     got = rows.where("id is not null").approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.05 / ranges) if ranges > 1 else []
     bounds = sorted({int(x) for x in got}, reverse=True)
     ladder = F.array(*(F.lit(x) for x in bounds)).cast("array<long>")
