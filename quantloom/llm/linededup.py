@@ -131,13 +131,16 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     are one document and come out alike. Other columns pass through, and input columns named as the two counts are replaced.
     """
     spans = repeated(docs, id_col=id_col, text_col=text_col, min_words=min_words)
-    gone = spans.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("_gone"))
+    before = F.max("last").over(Window.partitionBy("rid").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("first", F.greatest(F.col("first"), F.coalesce(before + 1, F.lit(0)))).where(F.col("first") <= F.col("last"))
+    gone = fresh.groupBy("rid").agg(F.flatten(F.collect_list(F.sequence("first", "last"))).alias("_gone"))
     kept = docs.drop("n_lines", "n_removed")
     columns = kept.columns
     rows = kept.withColumn("_rid", F.xxhash64(id_col, text_col)).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left")
     lines = F.split(text_col, "\n")
-    stays = F.filter(F.col("_lines"), lambda x, i: ~F.exists("_gone", lambda s: i.between(s["first"], s["last"])))
-    rows = rows.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_stay", stays)
+    # Line numbers are subtracted by hash; a search of the deleted ones for each line would grow with the square of a text.
+    left_over = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    rows = rows.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_stay", F.transform(left_over, lambda i: F.get("_lines", i)))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
     changed = F.col("_gone").isNotNull()
     return rows.select(
