@@ -100,8 +100,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     rows = docs.select(F.col(id_col), F.explode(F.array(words_of(F.col(text_col)))).alias("_words"))
     rows = rows.withColumn("_some", F.arrays_overlap("_words", F.array(*map(F.lit, rare))))
     hit = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda s: s["w"].isin(rare))
-    begun = F.flatten(F.transform(hit, lambda h: F.transform(F.filter(post, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("start")))))
-    begun = F.array_distinct(F.filter(begun, lambda c: c["start"] >= 0))
+    # One long for (start, template): distinct longs are hashed, distinct structs compared one by one.
+    many = F.lit(len(templates)).cast("long")
+    begun = F.flatten(F.transform(hit, lambda h: F.transform(F.filter(post, lambda p: (p["w"] == h["w"]) & (p["at"] <= h["at"])), lambda p: (h["at"] - p["at"]) * many + p["t"])))
+    begun = F.transform(F.array_distinct(begun), lambda x: F.struct((x % many).cast("int").alias("t"), F.floor(x / many).cast("int").alias("start")))
     rows = rows.withColumn("_begun", F.explode(F.array(F.when(F.col("_some"), begun).otherwise(F.array().cast("array<struct<t:int,start:int>>")))))
 
     def stands(c: Column, j: Column) -> Column:
