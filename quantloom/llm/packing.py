@@ -51,7 +51,12 @@ def encoder(path: str, ranks_path: str | None):
     def run(text: str) -> list[int]:
         if ranks_path is None or SPECIAL in text:
             return slow().encode(text, add_special_tokens=False).ids
-        return fast().encode_ordinary(text)
+        try:
+            return fast().encode_ordinary(text)
+        except BaseException as e:  # its pattern matcher gives up on runs of some 100,000 blanks, by an exception outside of Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return slow().encode(text, add_special_tokens=False).ids
 
     return run
 

@@ -330,3 +330,24 @@ def test_licence_scan_equals_brute_force(spark, docs, odd):
         labels[r.doc_id] = r.labels
     assert labels[10**7 + 4] == "mit" and labels[10**7 + 5] == "lgpl"
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+def test_packing_reads_long_runs_of_blanks():
+    paths = PATHS
+    fast, slow = packing.encoder(**paths), packing.encoder(paths["path"], None)
+    for text in (" " * 1_000_000, "\n" * 500_000, "a " * 1000 + " " * 300_000 + "b"):
+        assert fast(text) == slow(text)
+
+
+def test_licences_in_a_long_text_of_nothing_else(spark):
+    docs = spark.createDataFrame([(1, "Apache License " * 200_000)], "doc_id long, text string")
+    row = licences.scan(docs).first()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"], row["base_labels"]) == (400_000, 200_000, 0, 399_998, "apache")
+
+
+def test_line_dedup_of_long_copies(spark):
+    text = "\n".join(f"line {i} of a long text" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nits own end")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in linededup.deduplicate(docs).collect()}
+    assert rows[1]["text"] == text and rows[1]["n_removed"] == 0
+    assert rows[2]["text"] == "its own end" and rows[2]["n_removed"] == 40_000
