@@ -2,12 +2,15 @@
 
 A fingerprint's bits are cut into segments of two bits; the bit counts of the
 segments embed it in a small grid, where the Manhattan distance never exceeds the Hamming
-distance. The segments form three sub-grids: two fingerprints within ``max_bits`` are
-within ``max_bits // 3`` of each other in one of them at least. A grid range-join meets
-each fingerprint's own cell and, one way only, the cells next to it; every pair met is verified
-exactly on all 64 bits. Only distinct fingerprints are joined, and a task emits the
-links of what it met as spanning trees, so that large groups of near copies
-never become all their pairs. Crowded cells are dealt out in blocks.
+distance. The segments form two sub-grids with radii that add up to ``max_bits - 1``: two
+fingerprints within ``max_bits`` are within the radius in one of them at least. The grid
+range-join meets at radius 1 each fingerprint's own cell and, one way only, the cells
+next to it; at radius 2 both sides go one step, as two points at distance 2 have a
+cell between them. So few rows are joined, and about two in a hundred thousand of all
+pairs meet; each of these is verified exactly on all 64 bits. Only distinct
+fingerprints are joined, and a task emits the links of what it met as spanning
+trees, so that large groups of near copies never become all their pairs. Crowded
+cells are dealt out in blocks.
 """
 
 from __future__ import annotations
@@ -67,20 +70,29 @@ def _segments(parts: int) -> list[list[tuple[int, int]]]:
     return [[(s, min(2, b - s)) for s in range(a, b, 2)] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _cells(max_bits: int, parts: int) -> tuple[Column, Column]:
-    """The cells of ``fp`` in each sub-grid, and the cells that it looks into besides."""
-    own, seen = [], []
-    radius = max_bits // parts
-    if radius > 1:
-        raise ValueError("max_bits needs more sub-grids")
-    for g, segments in enumerate(_segments(parts)):
+def _radii(max_bits: int, parts: int) -> list[int]:
+    """The distance looked at in each sub-grid. More than ``max_bits`` differing bits are needed to be beyond all of them."""
+    total = max_bits + 1 - parts
+    radii = [total // parts + (g < total % parts) for g in range(parts)]
+    if min(radii) < 0 or max(radii) > 2:
+        raise ValueError("max_bits needs another number of sub-grids")
+    return radii
+
+
+def _cells(max_bits: int, parts: int) -> list[tuple[Column, Column, Column]]:
+    """For each sub-grid the own cell of ``fp``, the cells where it is met, and those that it only looks into."""
+    out, base = [], 0
+    for segments, radius in zip(_segments(parts), _radii(max_bits, parts), strict=True):
         at = [F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1))).cast("long") for s, w in segments]
-        cell = F.lit(g * 3 ** len(segments)).cast("long")
+        own = F.lit(base).cast("long")
         for i, x in enumerate(at):
-            cell = cell + x * F.lit(3**i).cast("long")
-        own.append(cell)
-        seen += [F.when(x < w, cell + F.lit(3**i).cast("long")) for i, (x, (_, w)) in enumerate(zip(at, segments, strict=True)) if radius]
-    return F.array(*own), F.array_compact(F.array(*seen)) if seen else F.array().cast("array<long>")
+            own = own + x * F.lit(3**i).cast("long")
+        base += 3 ** len(segments)
+        up = F.array_compact(F.array(*(F.when(x < w, own + F.lit(3**i).cast("long")) for i, (x, (_, w)) in enumerate(zip(at, segments, strict=True)))))
+        down = F.array_compact(F.array(*(F.when(x > 0, own - F.lit(3**i).cast("long")) for i, x in enumerate(at))))
+        none = F.array().cast("array<long>")
+        out.append((own, F.concat(F.array(own), up, down) if radius == 2 else F.array(own), up if radius == 1 else none))
+    return out
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +161,18 @@ def _meet(max_bits: int):
     return run
 
 
-def links(distinct: DataFrame, *, max_bits: int = 4, parts: int = 3, block: int = 4096) -> DataFrame:
-    """Edges ``u``, ``v`` that connect what is within ``max_bits`` among the distinct ``fp``; trees, not all pairs."""
-    own, seen = _cells(max_bits, parts)
-    rows = distinct.select("fp", F.explode(F.concat(F.transform(own, lambda c: F.struct(c.alias("cell"), F.lit(0).alias("role"))), F.transform(seen, lambda c: F.struct(c.alias("cell"), F.lit(1).alias("role"))))).alias("x")).select("fp", "x.cell", "x.role")
-    crowded = materialize(distinct.select(F.explode(own).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+def links(distinct: DataFrame, *, max_bits: int = 4, parts: int = 2, block: int = 4096) -> DataFrame:
+    """Edges ``u``, ``v`` that connect what is within ``max_bits`` among the distinct ``fp``; trees, not all pairs.
+
+    A cell with more than ``block`` fingerprints is dealt out; the count leaves out what thin cells next to it add, ``block`` at most.
+    """
+    cells = _cells(max_bits, parts)
+    met, seen = F.concat(*(m for _, m, _ in cells)), F.concat(*(s for _, _, s in cells))
+    rows = distinct.select("fp", F.explode(F.concat(F.transform(met, lambda c: F.struct(c.alias("cell"), F.lit(0).alias("role"))), F.transform(seen, lambda c: F.struct(c.alias("cell"), F.lit(1).alias("role"))))).alias("x")).select("fp", "x.cell", "x.role")
+    thin = block // (BITS + 1)
+    full = distinct.select("fp", F.posexplode(F.array(*(o for o, _, _ in cells))).alias("grid", "own")).groupBy("grid", "own").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).where(F.col("n") > thin)
+    spread = full.select("n", F.explode(F.get(F.array(*(m for _, m, _ in cells)), F.col("grid"))).alias("cell"))
+    crowded = materialize(spread.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     rows = rows.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = rows.select("fp", "cell", "role", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
