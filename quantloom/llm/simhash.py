@@ -6,7 +6,7 @@ distance. The segments form two sub-grids with radii that add up to ``max_bits -
 fingerprints within ``max_bits`` are within the radius in one of them at least. The grid
 range-join meets at radius 1 each fingerprint's own cell and, one way only, the cells
 next to it; at radius 2 both sides go one step, as two points at distance 2 have a
-cell between them. So few rows are joined, and about two in a hundred thousand of all
+cell between them. So few rows are joined, and about eight in a hundred thousand of all
 pairs meet; each of these is verified exactly on all 64 bits. Only distinct
 fingerprints are joined, and a task emits the links of what it met as spanning
 trees, so that large groups of near copies never become all their pairs. Crowded
