@@ -29,14 +29,19 @@ def relative_strength(prices: DataFrame, as_of, days: int = 90) -> DataFrame:
     return out.withColumn("relative", F.col("ret") - F.col("sector_ret")).withColumn("signal", ladder("relative", (">", 5, "OUTPERFORMING"), ("<", -5, "UNDERPERFORMING"), other="IN_LINE"))
 
 
+def with_market(prices: DataFrame) -> DataFrame:
+    """``ticker, bar_date, r, m``: daily returns of each ticker and of the index, joined by date."""
+    index = market(prices).withColumn("ticker", F.lit("index"))
+    ret = F.col("close") / F.nullif(F.lag("close").over(over()), F.lit(0.0)) - 1
+    mine = prices.withColumn("r", ret).where("r is not null").select("ticker", "bar_date", "r")
+    theirs = index.withColumn("m", ret).where("m is not null").select("bar_date", "m")
+    return mine.join(theirs, "bar_date")
+
+
 def beta(prices: DataFrame, as_of, days: int = 365) -> DataFrame:
     """Sample covariance over population variance of daily returns, joined by date; no variance gives 0."""
     recent = prices.where((F.col("bar_date") >= F.date_sub(F.lit(as_of), days)) & (F.col("bar_date") <= F.lit(as_of)))
-    index = market(recent).withColumn("ticker", F.lit("index"))
-    ret = F.col("close") / F.nullif(F.lag("close").over(over()), F.lit(0.0)) - 1
-    mine = recent.withColumn("r", ret).where("r is not null").select("ticker", "bar_date", "r")
-    theirs = index.withColumn("m", ret).where("m is not null").select("bar_date", "m")
-    out = mine.join(theirs, "bar_date").groupBy("ticker").agg(F.coalesce(F.covar_samp("r", "m") / F.nullif(F.var_pop("m"), F.lit(0.0)), F.lit(0.0)).alias("beta"))
+    out = with_market(recent).groupBy("ticker").agg(F.coalesce(F.covar_samp("r", "m") / F.nullif(F.var_pop("m"), F.lit(0.0)), F.lit(0.0)).alias("beta"))
     return out.withColumn("signal", ladder("beta", (">", 1.2, "HIGH_VOLATILITY"), (">", 0.8, "MARKET_CORRELATED"), other="LOW_VOLATILITY"))
 
 

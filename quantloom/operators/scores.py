@@ -10,6 +10,11 @@ from quantloom.functions.columns import clamp, exact_round, given, ladder
 D = F.lit
 
 
+def safe(x: Column, default: float) -> Column:
+    """``default`` in place of null and NaN."""
+    return F.coalesce(F.nanvl(x, D(None).cast("double")), D(default))
+
+
 def rsi_score(rsi: Column) -> Column:
     return ladder(rsi, ("<", 30, 80.0), (">", 70, 20.0), ("<", 50, 40.0), other=60.0)
 

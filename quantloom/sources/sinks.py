@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,23 @@ def html_report(batch: DataFrame, *, title: str = "Daily signals", most: int = 1
 def status(batch: DataFrame) -> DataFrame:
     """``tickers``, ``buys``, ``errors`` and ``health``: OPERATIONAL, or DEGRADED when empty."""
     return batch.agg(F.count("*").alias("tickers"), F.count_if(F.col("signal") == "BUY").alias("buys"), F.count_if(F.col("combined").isNull()).alias("errors")).withColumn("health", F.when(F.col("tickers") > 0, "OPERATIONAL").otherwise("DEGRADED"))
+
+
+def escaped(x: Column) -> Column:
+    """Text for HTML: the five special characters as entities."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = F.replace(x, F.lit(plain), F.lit(entity))
+    return x
+
+
+def html_row(*cells: Column) -> Column:
+    return F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), F.coalesce(escaped(c), F.lit("")), F.lit("</td>")) for c in cells), F.lit("</tr>"))
+
+
+def write_page(page: DataFrame, path: str) -> dict[str, str]:
+    """Write the single text column of ``page`` below ``path``: ``{path}``, or ``{error}`` where that fails."""
+    try:
+        page.coalesce(1).write.mode("overwrite").text(path)
+    except Exception as e:  # noqa: BLE001 - the caller gets the reason, as for any report
+        return {"error": str(e).splitlines()[0]}
+    return {"path": path}
