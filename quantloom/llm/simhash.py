@@ -168,7 +168,9 @@ def links(distinct: DataFrame, *, max_bits: int = 4, parts: int = 2, block: int
     """
     cells = _cells(max_bits, parts)
     met, seen = F.concat(*(m for _, m, _ in cells)), F.concat(*(s for _, _, s in cells))
-    rows = distinct.select("fp", F.explode(F.concat(F.transform(met, lambda c: F.struct(c.alias("cell"), F.lit(0).alias("role"))), F.transform(seen, lambda c: F.struct(c.alias("cell"), F.lit(1).alias("role"))))).alias("x")).select("fp", "x.cell", "x.role")
+    # A file of fingerprints is small, but each becomes some 38 rows: they are dealt out before, not after.
+    dealt_out = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = dealt_out.select("fp", F.explode(F.concat(F.transform(met, lambda c: F.struct(c.alias("cell"), F.lit(0).alias("role"))), F.transform(seen, lambda c: F.struct(c.alias("cell"), F.lit(1).alias("role"))))).alias("x")).select("fp", "x.cell", "x.role")
     thin = block // (BITS + 1)
     full = distinct.select("fp", F.posexplode(F.array(*(o for o, _, _ in cells))).alias("grid", "own")).groupBy("grid", "own").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).where(F.col("n") > thin)
     spread = full.select("n", F.explode(F.get(F.array(*(m for _, m, _ in cells)), F.col("grid"))).alias("cell"))
