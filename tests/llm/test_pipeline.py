@@ -1,13 +1,14 @@
 """The pipeline against the same steps in plain Python, and the registered queries."""
 
 import collections
+import random
 
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 import __spark_entry__  # noqa: E402
-from quantloom.llm import packing, queries, storage  # noqa: E402
+from quantloom.llm import packing, queries, shingles, storage  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +51,60 @@ def test_run_equals_its_stages(spark):
 def test_queries_are_registered():
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert [n.split("_")[0] for n in queries.QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _words(seed, n=200):
+    r = random.Random(seed)
+    return ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+
+
+def _jaccard(a, b):
+    a, b = ({tuple(x.lower().split()[k : k + 5]) for k in range(len(x.split()) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_removes_what_reaches_four_fifths(spark):
+    rows, want, seen = [], set(), collections.Counter()
+    for k in range(60):
+        base = _words(k)
+        edited = list(base)
+        for j in range(1 + k % 8):  # each changed word changes five shingles
+            edited[10 + 20 * j] = f"new{k}x{j}"
+        a, b = " ".join(base), " ".join(edited)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        near = _jaccard(a, b) >= 0.8
+        seen[near] += 1
+        want |= {2 * k} if near else {2 * k, 2 * k + 1}
+    assert min(seen.values()) > 20
+    assert {r.doc_id for r in corpus_pipeline.deduplicate_near(spark, _rows(spark, rows), SF).collect()} == want
+
+
+def test_near_dedup_of_a_crowded_group_equals_brute_force(spark):
+    base, r, texts = _words("hub"), random.Random(7), []
+    for k in range(120):
+        w = list(base)
+        for at in r.sample(range(200), r.randint(2, 6)):
+            w[at] = f"new{k}x{at}"
+        texts.append(" ".join(w))
+    sets = [set(shingles.shingle_set(t).tolist()) for t in texts]
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    want = {find(i) for i in range(len(texts))}
+    assert 1 < len(want) < 120
+    assert {x.doc_id for x in corpus_pipeline.deduplicate_near(spark, _rows(spark, enumerate(texts)), SF).collect()} == want
+    few = [shingles.shingle_set(t) for t in texts[:5]]
+    assert shingles.overlaps(few, few).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in few] for a in few]
