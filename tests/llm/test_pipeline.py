@@ -108,3 +108,11 @@ def test_near_dedup_of_a_crowded_group_equals_brute_force(spark):
     assert {x.doc_id for x in corpus_pipeline.deduplicate_near(spark, _rows(spark, enumerate(texts)), SF).collect()} == want
     few = [shingles.shingle_set(t) for t in texts[:5]]
     assert shingles.overlaps(few, few).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in few] for a in few]
+
+
+def test_near_dedup_keeps_unrelated_documents_with_no_id_or_the_same_id(spark):
+    texts = [" ".join(_words(f"t{k}", 60)) for k in range(9)]
+    edited = texts[8] + " end"
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0])] + [(5, t) for t in texts[4:8]] + [(7, texts[4]), (None, texts[5]), (None, edited), (9, texts[8])]
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.deduplicate_near(spark, _rows(spark, rows), SF).collect())
+    assert got == collections.Counter([(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:8]] + [(9, texts[8])])
