@@ -10,15 +10,20 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where unset, the warehouse on a cluster and a temporary folder in local mode."""
+    """The session's ``spark.checkpoint.dir``; where unset, a temporary folder in local mode, and on a cluster the warehouse if it lies in a shared store."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -28,14 +33,55 @@ def shared_dir(spark: SparkSession) -> str:
             _own[app] = tempfile.mkdtemp(prefix="quantloom-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         else:
-            _own[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+            where = spark.conf.get("spark.sql.warehouse.dir", "")
+            if not where or where.startswith("file:") or "://" not in where:
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _own[app] = where.rstrip("/") + "/_stages"
     return _own[app]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python workers in batches of at most ``rows``, so that two workers fit beside an executor's heap."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows or int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 0:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Rows and bytes of whole texts that go to a Python worker at once, so that two workers fit beside an executor's heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Characters that an operator's function is given at once; a longer text comes alone.
+AT_ONCE = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes; never raised, and left so, as plans run later."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = spark.conf.get(key).removesuffix("b")
+        if not found.isdigit() or not 0 < int(found) <= most:
+            spark.conf.set(key, most)
+
+
+def map_texts(docs: DataFrame, keep: Sequence[str], text_col: str, added: StructType, f: Callable[[list[str | None]], Sequence[Sequence]]) -> DataFrame:
+    """``keep`` of every row, untouched whatever its types, and the columns ``added`` that ``f`` makes of the texts.
+
+    ``f`` gets the texts of some neighbouring rows, about AT_ONCE characters together, and returns a sequence for each added column.
+    """
+    small_batches(docs.sparkSession)
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").cast("string").alias("text"))  # no two names alike
+    schema = StructType([*docs.select(*(F.col(f"`{c}`") for c in keep)).schema.fields, *added.fields])
+    arrow = to_arrow_schema(schema)
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(n).to_pylist()
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= AT_ONCE):
+                    size += len(texts[end] or "")
+                    end += 1
+                made = f(texts[at:end])
+                fields = list(arrow)
+                columns = [b.column(i).slice(at, end - at) for i in range(n)]
+                columns += [pa.array(x, type=fields[n + k].type) for k, x in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([c.cast(t.type) if c.type != t.type else c for c, t in zip(columns, fields, strict=True)], names=arrow.names)
+                at = end
+
+    return inner.mapInArrow(run, schema)
 
 
 def materialize(df: DataFrame) -> DataFrame:

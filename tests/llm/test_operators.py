@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -30,26 +31,75 @@ def odd(spark):
     return spark.createDataFrame([*rows, (None, "null id", None, None, None), rows[7]], SCHEMA)
 
 
-def test_language_parse_is_greedy(spark):
-    model = langid.Model(("a", "b"), ("the cat sat on the mat", "le chat est sur le tapis"))
-    for text in ("the cat", "chat sur tapis zz", "q"):
-        p, n, _ = langid.parse([text], model)
-        for k, ref in enumerate(model.refs):
-            now, phrases = "", 1
-            for c in text + " ":
-                if now + c in ref + " ":
-                    now += c
-                else:
-                    now, phrases = (c if c in ref + " " else ""), phrases + 1
-            assert p[k, 0] == phrases
-        assert n[0] == len(text) + 1
+def plain_codes(text):
+    """Lower-case letters, every run of anything else as one blank, none at the beginning, one at the end."""
+    out = ""
+    for c in text.lower() + "\n":
+        out += c if c.isalpha() else " " if out[-1:] not in ("", " ") else ""
+    return out
+
+
+def plain_identify(text, model):
+    """Longest matches one after the other, found by substring search."""
+    best = []
+    if not any(c.isalpha() for c in text or ""):
+        return langid.UND
+    for lang, ref in zip(model.langs, map(plain_codes, model.refs), strict=True):
+        now, phrases = "", 1
+        for c in plain_codes(text):
+            if now + c in ref:
+                now += c
+            else:
+                now, phrases = (c if c in ref else ""), phrases + 1
+        best.append((phrases * np.log2(len(ref) + 2), lang, phrases))
+    return min(best)[1], [p for _, _, p in best]
+
+
+def phrases_of(text, model):
+    part = langid._normal(langid._compiled(model).code, text.lower(), False, True)
+    return (langid.parse([part], model)[0][:, 0] + 1).tolist()
+
+
+def test_language_parse_equals_a_plain_one(spark, docs):
+    model = langid.fit(docs.select("text", "lang"))
+    texts = [r.text for r in docs.limit(12).collect()] + [model.refs[0], model.refs[1] * 2, "漢字ß Ünïcode ﬀ", "zz"]
+    texts = [t[:3000] for t in texts]
+    old = langid.BLOCK, langid.PIECE
+    try:
+        for langid.BLOCK, langid.PIECE in (old, (64, 1000), (7, 50)):
+            for t in texts if langid.BLOCK > 7 else texts[-8:]:
+                assert phrases_of(t, model) == plain_identify(t, model)[1]
+            assert langid.identify(texts, model)[0] == [plain_identify(t, model)[0] for t in texts]
+            bits = langid.identify(texts, model)[2]
+            langid.BLOCK, langid.PIECE = old
+            assert np.allclose(bits, langid.identify(texts, model)[2])
+    finally:
+        langid.BLOCK, langid.PIECE = old
+
+
+def test_language_learns_every_label_whatever_is_repeated(spark, docs):
+    few = docs.where("lang = 'en'").limit(40).select("text", "lang")
+    copies = spark.range(3000).select(F.lit("Der schnelle braune Fuchs springt über den faulen Hund und schläft dann im Wald").alias("text"), F.lit("de").alias("lang"))
+    model = langid.fit(few.union(copies).union(spark.createDataFrame([(None, "xx"), ("a text with no label", None), ("solo", "one")], "text string, lang string")))
+    assert model.langs == ("de", "en", "one")
+    assert langid.identify(["der Fuchs schläft im Wald"], model)[0] == ["de"]
+
+
+def test_language_model_of_many_scripts_is_small():
+    rng = np.random.default_rng(6)
+    refs = tuple("".join(map(chr, 0x4E00 + rng.integers(0, 20_000, 4000))) for _ in range(12))
+    model = langid.Model(tuple(f"l{i:02d}" for i in range(12)), refs)
+    m = langid._compiled(model)
+    assert m.table.nbytes + m.edges.keys.nbytes + m.edges.values.nbytes < 120e6 and m.width < m.restart.shape[1]
+    assert langid.identify([r[500:900] for r in refs], model)[0] == list(model.langs)
+    assert phrases_of(refs[3][100:400] + refs[4][:100], model) == plain_identify(refs[3][100:400] + refs[4][:100], model)[1]
 
 
 def test_language_accuracy_and_edges(spark, docs, odd):
     model = langid.fit(docs.where("doc_id % 2 = 0").select("text", "lang"))
     got = langid.predict(docs.where("doc_id % 2 = 1"), model).toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.9
-    rows = langid.predict(odd.withColumn("score", F.lit("mine")), model).collect()
+    rows = langid.predict(odd.withColumn("score", F.lit("mine")).withColumn("_text", F.lit(1)), model).collect()
     assert len(rows) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in rows)
     assert [r.lang_pred for r in rows if r.doc_id in (0, 1, 2, 3)] == ["und"] * 4
     assert langid.predict(docs.limit(0), model).count() == 0
@@ -202,9 +252,10 @@ def test_line_dedup_equals_brute_force(spark, odd):
 
 def test_mixing(spark, odd):
     rows = [(i, "w " * (i % 7 + 1), None, f"s{min(i % 9, 4)}", None) for i in range(400)]
-    docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd.where("doc_id is null or doc_id <> 6"))
-    got = mixing.plan(docs, ["doc_id", "source"]).toPandas()
-    assert len(got) == docs.count()
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd.where("doc_id is null or doc_id <> 6").withColumn("doc_id", F.col("doc_id") + 10**6))
+    plan = mixing.plan(docs.withColumns({k: F.lit(1) for k in ("size", "h", "stratum", "id", "copies")}))
+    got = plan.toPandas().merge(docs.select("doc_id", "source").distinct().toPandas(), on="doc_id", how="left")
+    assert len(got) == docs.count() and sorted(got["taken"]) == sorted(mixing.plan(docs.repartition(5)).toPandas()["taken"])
     by = got.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"))
     names = sorted((s for s in by.index if isinstance(s, str))) + [s for s in by.index if not isinstance(s, str)]
     size = {s: by.loc[[s], "size"].iloc[0] if isinstance(s, str) else by[by.index.isna()]["size"].iloc[0] for s in names}
@@ -223,60 +274,181 @@ def test_mixing(spark, odd):
     assert (got["taken"] <= 3 * got["size"]).all() and (got["taken"] == got["size"] * got["copies"]).all()
     assert mixing.mix(docs).count() == got[got["size"] > 0]["copies"].sum()
     assert mixing.mix(docs.withColumn("size", F.lit(1)).withColumn("target", F.lit(2))).columns == [*docs.columns, "size", "target"]
-    assert mixing.plan(docs.limit(0), ["doc_id"]).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixing_comes_near_its_targets(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = mixing.plan(table).toPandas().merge(table.select("doc_id", "source").toPandas(), on="doc_id")
+    for _, g in got.groupby("source", dropna=False):
+        off = abs(g["taken"].sum() - g["target"].iloc[0])
+        assert off <= g["size"].max() and (len(g) < 50 or off <= 0.02 * g["target"].iloc[0])
+
+
+def test_mixing_draws_have_the_rates_fraction(spark):
+    """Over many sources of like documents, one of them much longer, each is drawn about as often as the fraction says."""
+    rows = [(1000 * s + i, "w " * (200 if i == 0 else 10 + i), f"s{s:03d}") for s in range(300) for i in range(12)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    got["more"] = got["copies"] - (got["target"] / got["source_size"]).apply(np.floor)
+    part = got["target"] / got["source_size"] % 1
+    for chosen in (got["doc_id"] % 1000 == 0, got["doc_id"] % 1000 == 5):
+        assert abs(got[chosen]["more"].mean() - part[chosen].mean()) < 0.1
+    assert (got["more"].isin([0, 1])).all()
+
 
+def plain_features(raw, rank):
+    """The rarest key of every neighbourhood, at the ends down to one window, in the order of their first appearance."""
+    raw = raw.ljust(digest.WINDOW, b"\0") if raw else raw
+    keys = digest._keys(np.frombuffer(raw, dtype=np.uint8), rank).tolist() if raw else []
+    return list(dict.fromkeys(min(keys[max(0, s) : s + digest.NEAR]) for s in range(1 - digest.NEAR, len(keys)))) if keys else []
 
-def test_digest_entropy_and_likeness(spark, docs):
+
+def test_digest_entropy_and_features(spark, docs):
     x = np.random.default_rng(0).integers(97, 110, 400).astype(np.uint8)
     got = digest.entropies(x)
     for i in (0, 7, 200, len(got) - 1):
         p = np.bincount(x[i : i + digest.WINDOW]) / digest.WINDOW
         p = p[p > 0]
         assert abs(got[i] - -(p * np.log2(p)).sum() * (digest.STEPS - 1) / np.log2(digest.WINDOW)) <= 0.51
-    raws = [(t or "").encode() for t in ODD] + [r.text.encode() for r in docs.limit(80).collect()]
+    raws = [(t or "").encode() for t in ODD] + [r.text.encode() for r in docs.limit(80).collect()] + [bytes(x[:k]) for k in (1, 15, 16, 17, 39, 40, 41, 63)]
     rank = digest.ranks(digest.histogram(raws))
-    together = digest.digests(raws, rank)
-    for r, d in zip(raws, together, strict=True):
-        assert (digest.digests([r], rank)[0] == d).all() and digest.likeness(d, d) == 1
+    plain = np.zeros(digest.STEPS, dtype=int)
+    for r in (digest._filled(r) for r in raws if len(r) < 3000):
+        for i in range(len(r) - digest.WINDOW + 1):
+            plain[digest.entropies(np.frombuffer(r[i : i + digest.WINDOW], dtype=np.uint8))[0]] += 1
+    assert (plain == digest.histogram([r for r in raws if len(r) < 3000])).all()
+    found = digest.features(raws, rank)
+    assert all(f.tolist() == plain_features(r, rank) for f, r in zip(found, raws, strict=True) if len(r) < 3000)
     old, digest.PIECE = digest.PIECE, 3000
     try:
-        assert all((a == b).all() for a, b in zip(digest.digests(raws, rank), together, strict=True))
-        assert (digest.histogram(raws) == digest.histogram(raws[::-1])).all()
+        assert all((a == b).all() for a, b in zip(digest.features(raws, rank), found, strict=True))
+        assert (digest.ranks(digest.histogram(raws)) == rank).all()
     finally:
         digest.PIECE = old
+    for r, d in zip(raws, digest.digests(raws, rank), strict=True):
+        assert (digest.digests([r], rank)[0] == d).all() and digest.likeness(d, d) == 1
+
+
+def test_digest_of_texts_that_repeat_and_of_every_short_length():
+    raws = [b"", b"a" * 500, b"b" * 900, b"ab" * 300, b"0123456789" * 60, b"spam " * 60, b"\n" * 300, b"a", b"buy now! " * 40]
+    rng = np.random.default_rng(4)
+    text = bytes(rng.choice(np.frombuffer(b"etaoin shrdlu cmfwyp", dtype=np.uint8), 300))
+    rank = digest.ranks(digest.histogram([*raws, text]))
+    found = digest.digests(raws, rank)
+    assert len({digest.encode(d) for d in found}) == len(raws)
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            assert (digest.likeness(a, b) == 1) if i == j else digest.likeness(a, b) < 0.5 if 0 in (i, j) else True
+    for n in range(150, 251):
+        one, longer, middle = text[:n], text[: n + 8], text[: n // 2] + b"#" + text[n // 2 : n]
+        a, b, c = digest.digests([one, longer, middle], rank)
+        assert digest.likeness(a, b) > 0.5 and digest.likeness(a, c) > 0.5
+
+
+def plain_likeness(a, b):
+    """Shared bits beyond chance over the most that could be shared, each filter's best, both ways, weighed by bits."""
+    x, y = ([np.unpackbits(f).astype(int) for f in c] for c in (a, b))
+    if not sum(map(sum, x)) or not sum(map(sum, y)):
+        return float(sum(map(sum, x)) == sum(map(sum, y)))
+
+    def part(f, g):
+        chance = f.sum() * g.sum() / len(f)
+        room = min(f.sum(), g.sum()) - chance
+        return ((f & g).sum() - chance) / room if room > 0 else 0
+
+    ways = [(max(part(f, g) for g in there), f.sum()) for here, there in ((x, y), (y, x)) for f in here]
+    return min(1.0, max(0.0, sum(p * n for p, n in ways) / sum(n for _, n in ways)))
 
 
 def test_digest_neighbours(spark, docs, odd):
-    every = docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10**6))
+    every = docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10**6)).withColumns({k: F.lit(1) for k in ("h", "range", "extra", "fingerprint", "id", "_text")})
     got = digest.compare_neighbours(every).collect()
-    rows = sorted(((-r.doc_id if r.doc_id is not None else 1, r.text or "", r.doc_id) for r in every.select("doc_id", "text").collect()), key=lambda r: r[:2])
-    want = collections.Counter((i, len(t), hashlib.sha256(digest.edited(t, nxt[1]).encode()).hexdigest()) for (_, t, i), nxt in zip(rows, [*rows[1:], rows[0]], strict=True))
+    rows = sorted((((-r.doc_id if r.doc_id is not None else 1, r.h), r.text or "", r.doc_id) for r in every.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()))
+    pairs = list(zip(rows, [*rows[1:], rows[0]], strict=True))
+    want = collections.Counter((i, len(t), hashlib.sha256(digest.edited(t, nxt[1]).encode()).hexdigest()) for (_, t, i), nxt in pairs)
     assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    long = [r for r in got if 2000 < r.n_chars < 50000]
-    assert min(r.near_edited for r in long) > 0.4 and np.median([r.near_next for r in long]) < 0.2
-    split = digest.in_order(spark, every, id_col="doc_id", text_col="text", rows_per_range=30)
+    rank = digest.ranks(digest.histogram([t.encode() for _, t, _ in rows]))
+    by = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in got}
+    for (_, t, i), (_, nxt, _) in pairs:
+        if len(t) < 3000 and len(nxt) < 3000:
+            changed = digest.edited(t, nxt)
+            one, two, three = digest.digests([t.encode(), changed.encode(), nxt.encode()], rank)
+            r = by[i, len(t), hashlib.sha256(changed.encode()).hexdigest()]
+            assert (r.fingerprint, r.edited_fingerprint) == (digest.encode(one), digest.encode(two))
+            assert abs(r.near_edited - plain_likeness(one, two)) < 1e-9 and abs(r.near_next - plain_likeness(one, three)) < 1e-9
+    long = [r for r in got if 100 < r.n_chars < 50000]
+    assert np.quantile([r.near_edited for r in long], 0.02) > 0.4 and np.median([r.near_next for r in long]) < 0.1
+    split = digest.in_order(every, id_col="doc_id", text_col="text", rows_per_range=30)
     assert split.where("not extra").count() == every.count() and 1 < split.where("extra").count() < 20
+    assert split.where("not extra").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 90
     assert digest.compare_neighbours(docs.limit(0)).count() == 0
     assert digest.compare_neighbours(docs.limit(1)).count() == 1
 
 
-def test_warc_audit(spark, tmp_path):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (10**6, "u", ""), (10**6, "u", ""), (10**6, "v", "")], "page_id long, url string, html string"))
-    recs = warc.records(pages)
-    made = recs.withColumn("digest", F.sha2("record", 256))
-    placed = storage.materialize(warc.layout(made, file_bytes=100_000))
-    assert placed.select("file").distinct().count() > 1
-    bad = {r.key for r in placed.select("key").orderBy("key").limit(3).collect()}
-    lost = placed.orderBy(F.col("key").desc()).first().key
-    replica = placed.where(F.col("key") != lost).withColumn("digest", F.when(F.col("key").isin(*bad), F.lit("?")).otherwise(F.col("digest")))
-    got = {r.key: r.status for r in warc.fixity(placed, replica).collect()}
-    assert {k for k, s in got.items() if s == "corrupt"} == bad and {k for k, s in got.items() if s == "missing"} == {lost}
+def test_digest_of_any_id_and_of_many_null_ids(spark):
+    rows = [(None if i % 3 else f"id {i:04d}", f"text number {i} of these") for i in range(900)] + [(None, "same")] * 5
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    spread = digest.in_order(table, id_col="doc_id", text_col="text", rows_per_range=60).where("not extra").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 10 and max(r["count"] for r in spread) < 200
+    got = digest.compare_neighbours(table).collect()
+    order = [r for r in sorted((r for r in rows if r[0]), reverse=True)]
+    want = {i: hashlib.sha256(digest.edited(t, n).encode()).hexdigest() for (i, t), (_, n) in zip(order[:-1], order[1:], strict=True)}
+    assert len(got) == len(rows) and all(r.edited_sha256 == want[r.doc_id] for r in got if r.doc_id in want)
+    big = spark.createDataFrame([(2**60 + 1, "a"), (None, "b"), (2**60 + 3, "c")], "doc_id long, text string")
+    assert {r.doc_id for r in digest.compare_neighbours(big).collect()} == {2**60 + 1, None, 2**60 + 3}
+    made = digest.fingerprint(big.withColumn("fingerprint", F.lit("mine")), digest.ranks(np.zeros(digest.STEPS, dtype=int)))
+    assert made.columns == ["doc_id", "text", "fingerprint"] and made.select("fingerprint").distinct().count() == 3
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    more = spark.createDataFrame([(None, None, None), (10**6, "u", ""), (10**6, "u", ""), (10**6, "v", ""), (10**6 + 1, "w", "long " * 300_000)], "page_id long, url string, html string")
+    return spark.read.parquet(f"{SF}/pages.parquet").unionByName(more)
+
+
+def test_warc_audit_of_lost_cut_added_and_moved_records(spark, pages):
+    recs = warc.records(pages.withColumn("key", F.lit("mine")).withColumn("digest", F.lit(1)))
+    placed = storage.materialize(warc.layout(warc.manifest(recs), file_bytes=100_000))
+    files = placed.agg(F.max("file")).first()[0] + 1
+    assert files > 1 and placed.count() == pages.distinct().count()
+    rows = placed.orderBy("file", "offset").collect()
+    cut, lost, twice, moved = rows[3].key, rows[10].key, rows[20].key, rows[30].key
+    bytes_ = F.when(F.col("key") == cut, F.expr("substring(record, 1, octet_length(record) - 1)")).otherwise(F.col("record"))
+    copied = recs.withColumn("record", bytes_).where(F.col("key") != lost)
+    copied = copied.union(copied.where(F.col("key") == twice).withColumn("key", F.lit("a new key")))
+    replica = storage.materialize(warc.layout(warc.manifest(copied), files=files))
+    got = warc.fixity(placed, replica).collect()
+    assert {(r.key, r.status) for r in got if r.status != "ok"} == {(cut, "corrupt"), (lost, "missing"), ("a new key", "added")}
+    assert sorted(r.key for r in got if r.status != "added") == sorted(r.key for r in rows)
+    elsewhere = replica.withColumn("file", F.when(F.col("key") == moved, (F.col("file") + 1) % files).otherwise(F.col("file")))
+    assert {(r.key, r.status) for r in warc.fixity(placed, elsewhere).collect()} - {(r.key, r.status) for r in got} == {(moved, "moved")}
+    first, second = [r for r in rows if r.file == rows[0].file][-2:]
+    last = F.when(F.col("key") == first.key, F.lit(10**9)).otherwise(F.col("offset"))
+    turned = {r.key: r.status for r in warc.fixity(placed, placed.withColumn("offset", last), fanout=10**6).collect()}
+    assert len({first.key, second.key, rows[0].key}) == 3 and turned[second.key] == "moved" and turned[rows[0].key] == "ok"
     assert set(r.status for r in warc.fixity(placed, placed).collect()) == {"ok"}
+    assert set(r.status for r in warc.fixity(placed, placed.limit(0)).collect()) == {"missing"}
+    assert set(r.status for r in warc.fixity(placed.limit(0), placed).collect()) == {"added"}
+    assert warc.fixity(placed.limit(0), placed.limit(0)).count() == 0
+
+
+def test_warc_audit_reads_only_below_what_differs(spark):
+    recs = spark.range(5000).select("id", F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.encode(F.concat(F.lit("bytes "), F.col("id").cast("string")), "UTF-8").alias("record"))
+    placed = warc.layout(warc.manifest(recs), files=2)
+    replica = warc.layout(warc.manifest(recs.where("id <> 77")), files=2)
+    levels = warc.depth(placed)
+    one, two = (warc.tree(warc.ranged(x, levels), levels) for x in (placed, replica))
+    assert levels == 2 and [t.count() for t in one][-1] == 2 and warc.audit(one, two).count() == 1
+
+
+def test_warc_files_round_trip(spark, pages, tmp_path):
+    recs = warc.records(pages)
+    placed = storage.materialize(warc.layout(recs, file_bytes=100_000))
     warc.write(placed, str(tmp_path / "w"))
     back = warc.read(spark, str(tmp_path / "w")).toPandas()
     want = pages.distinct().fillna("").toPandas()
     assert sorted(zip(back["url"], back["body"], strict=True)) == sorted(zip(want["url"], want["html"], strict=True))
-    assert warc.fixity(placed.limit(0), placed.limit(0)).count() == 0
 
 
 def test_packing_round_trip(spark, docs, odd):
@@ -309,26 +481,56 @@ def test_nnls_is_near_optimal():
     assert sum(n for _, n in packed) <= 1.01 * (hist @ np.arange(1025)) / 1024
 
 
-def test_licence_scan_equals_brute_force(spark, docs, odd):
-    texts = ["CC BY cc by-CC By", "the GNU  general\npublic license; mit LICENSE. gnu general public", "cc", "License mit license mit license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "gnu lesser general public license"]
-    extra = spark.createDataFrame([(10**7 + i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
-    every = docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10**6)).unionByName(extra).where("doc_id is not null")
-    import re
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    word, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    source = {r.doc_id: r.text for r in every.select("doc_id", "text").collect()}
-    labels = {}
-    for r in licences.scan(every).collect():
-        words, places, names = word.findall((source[r.doc_id] or "").translate(low)), [], set()
-        for t in licences.TEMPLATES:
-            p = t.text.split()
+
+def plain_scan(texts, templates, anchors=4, share=0.85):
+    """Every start of every template that a file's words point to, with the words' frequencies counted in Python."""
+    files = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for t in texts]
+    idf = {w: np.log((len(files) + 2) / (sum(w in f for f in map(set, files)) + 1)) for t in templates for w in t.text.split()}
+    out = []
+    for words in files:
+        own, places, names, good, score = set(words), [], set(), set(), 0.0
+        for t in templates:
+            p, k = t.text.split(), t.key.split()
+            at = next(j for j in range(len(p)) if p[j : j + len(k)] == k)
             hits = [i for i in range(len(words) - len(p) + 1) if t.base and words[i : i + len(p)] == p]
             places += hits
             names |= {t.label} if hits else set()
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(names)))
-        assert names <= set(r.labels.split(",")) and 0 <= r.score <= 1
-        labels[r.doc_id] = r.labels
-    assert labels[10**7 + 4] == "mit" and labels[10**7 + 5] == "lgpl"
+            if not own >= set(k):
+                continue
+            rank = lambda ws: sorted(set(ws), key=lambda w: (-idf[w], w))
+            look = {rank(k)[0], *([] if t.base else [w for w in rank(p) if w in own][:anchors])}
+            for i in {i - j for i, w in enumerate(words) if w in look for j, x in enumerate(p) if x == w and j <= i}:
+                stands = [i + j < len(words) and words[i + j] == x for j, x in enumerate(p)]
+                part = sum(max(idf[x], 1e-3) for x, y in zip(p, stands, strict=True) if y) / sum(max(idf[x], 1e-3) for x in p)
+                key = all(stands[at : at + len(k)])
+                good |= {t.label} if key and (t.base or part >= share) else set()
+                score = max(score, part if key or part < share else part / 2)
+            whole = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]  # none may be passed over
+            assert not whole or t.label in good
+        out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(names)), ",".join(sorted(good)), min(1.0, score)))
+    return out
+
+
+def test_licence_scan_equals_brute_force(spark, docs, odd):
+    mit = next(t.text for t in licences.TEMPLATES if "sublicense" in t.text)
+    texts = [
+        "CC BY cc by-CC By", "the GNU  general\npublic license; mit LICENSE. gnu general public", "cc", "License mit license mit license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "gnu lesser general public license", mit.title(), mit.replace("sublicense", "share").replace("merge", "join").replace("furnished", "given").replace("publish", "print"), mit.replace("restriction", "limit"), " ".join(mit.split()[::-1]),
+        " ".join(t.text for t in licences.TEMPLATES), "Redistributions of source code must retain the above notice",
+    ]
+    extra = spark.createDataFrame([(10**7 + i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    every = docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10**6)).unionByName(extra).where("doc_id is not null").withColumns({k: F.lit(1) for k in ("labels", "score", "_words", "_id", "n_words")})
+    source = {r.doc_id: r.text for r in every.select("doc_id", "text").collect()}
+    rows = every.select("doc_id", "text").collect()
+    want = dict(zip([r.doc_id for r in rows], plain_scan([r.text for r in rows], licences.TEMPLATES), strict=True))
+    got = licences.scan(every).collect()
+    assert len(got) == len(rows) and set(source) == set(want)
+    for r in got:
+        assert r[1:7] == want[r.doc_id][:6] and abs(r.score - want[r.doc_id][6]) < 1e-9
+    labels = {r.doc_id - 10**7: r.labels for r in got}
+    assert labels[4] == "mit" and labels[5] == "lgpl" and "mit" in labels[6] and "mit" in labels[7] and "isc" in labels[10]
     assert licences.scan(docs.limit(0)).count() == 0
 
 
