@@ -54,8 +54,10 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", doc
     ``doc_chars`` characters of each, which begin at a hashed place of the whole text. The model holds every language; so does the driver.
     """
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    picked = materialize(rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang))
+    # The smallest hashes of 32 shares of a language first, then those of the language: no task gets what every partition holds of one language.
+    shared = rows.select("lang", "h").distinct().withColumn("share", F.pmod("h", F.lit(32)))
+    some = shared.withColumn("k", F.row_number().over(Window.partitionBy("lang", "share").orderBy("h"))).where(F.col("k") <= docs_per_lang).drop("k", "share")
+    picked = materialize(some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs_per_lang))
     first = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - doc_chars + 1, F.lit(1))).cast("int") + 1
     window = rows.join(picked, ["lang", "h"]).groupBy("lang", "k").agg(F.min(F.substring("text", first, F.lit(doc_chars))).alias("text"))
     parts: dict[str, list[str]] = {}
