@@ -125,10 +125,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with the later copies of repeated line runs deleted from its text, plus ``n_lines`` and ``n_removed``.
 
     Copies are ordered by id, then text, then line; a null id comes last. Runs
-    may overlap their own copy. Lines are compared whole and byte by byte (as
-    64-bit names); blank lines within a deleted run or after it go with it, those elsewhere stay.
+    may overlap their own copy. Lines are compared whole, by
+    64-bit hashes of their bytes; blank lines within a deleted run or after it go with it, those elsewhere stay.
     Null texts stay null with no lines; rows repeated with the same id and text
-    are one document and come out alike. Other columns pass through, and input columns named as the two counts are replaced.
+    are one document and come out alike. Texts of any length are read whole; an empty table gives an empty result. Other columns pass through, and input columns named as the two counts are replaced.
     """
     spans = repeated(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     before = F.max("last").over(Window.partitionBy("rid").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))

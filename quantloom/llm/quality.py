@@ -10,6 +10,8 @@ violators) is bounded too.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +39,8 @@ def statistics(text: str | None) -> np.ndarray:
     words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
     n = max(1, len(words))
     low = [w.lower() for w in words]
-    unique = set(low)
-    top = max((low.count(w) for w in (b"the", b"of", b"de", b"la", b"der", b"und")), default=0)
+    unique = Counter(low)
+    top = max(unique.values(), default=0)
     own = (np.log1p(len(raw)), np.log1p(len(words)), sum(map(len, words)) / n, len(unique) / n, len(set(lines)) / max(1, len(lines)), np.log1p(len(words) / max(1, len(lines))), top / n, sum(len(w) < 4 for w in unique) / max(1, len(unique)))
     return np.concatenate((own, np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) @ _TABLE / len(raw)))
 
@@ -113,7 +115,11 @@ def fit(train: DataFrame, *, size: int = 192, width: float = 4.0, ridge: float =
     def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [key[0]], "v": [np.sum(rows["v"].tolist(), axis=0)]})
 
-    sums = train.mapInPandas(shares, "i int, v array<double>").groupBy("i").applyInPandas(added, "i int, v array<double>").collect()
+    # Rows of the matrix are added within shares of the partitions, about as many as a share has partitions, then over the shares: no task gathers a row of every partition.
+    parts = train.mapInPandas(shares, "i int, v array<double>").withColumn("part", F.spark_partition_id())
+    wide = max(1, math.isqrt(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = parts.groupBy("i", F.pmod("part", F.lit(wide)).alias("share")).applyInPandas(added, "i int, v array<double>")
+    sums = some.groupBy("i").applyInPandas(added, "i int, v array<double>").collect()
     a = np.array([r["v"] for r in sorted(sums, key=lambda r: r["i"])])
     model.beta = np.linalg.solve(a[:, :-1] + ridge * np.eye(len(a)), a[:, -1])
 
@@ -144,7 +150,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: F.Column, *, id_col:
     """Train on labelled rows that are not ``held_out`` and score every row of ``docs``.
 
     Returns ``id_col``, ``held_out``, ``score``, ``predicted``, one row per input
-    row, repeats included. A document with several labels counts with their
+    row, repeats included and alike; texts of any length are read whole. Of equally common words none is preferred, and equal ridge scores calibrate alike.
+    Other columns are not looked at; an empty table gives an empty result. A document with several labels counts with their
     mean, rounded; null labels and labels of null ids are ignored. Null texts are empty. With no
     label at all every score is 0.5.
     """

@@ -167,7 +167,8 @@ def apply(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     Returns ``id_col``, STATS, ``base_failed`` (under 50 words, or over half of
     the words in repeated windows), ``rule`` (the learned rule that rejected
     it, else null) and ``kept``. Null or empty texts have no word and fail the
-    base. Repeated rows come out alike. Null labels are ignored, several labels
+    base; texts of any length are read whole. Repeated rows come out alike, other columns of
+    ``docs`` are not looked at, and an empty table gives an empty result. Of equally good conditions the first in the order of RATIOS and thresholds is taken. Null labels are ignored, several labels
     of an id count with their rounded mean; with no usable label nothing is
     learned and the base alone decides.
     """

@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null texts and texts with no word have fingerprint zero and are linked like
     any other; a null id is never the smallest unless all ids of its component
-    are null.
+    are null. A bit set in exactly half of the hashes is 0. Texts of any length are read whole; other columns
+    are not looked at, and an empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, [id_col], text_col=text_col, shingle=shingle))
     return classes(prints, id_col=id_col, max_bits=max_bits).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -120,6 +120,35 @@ def test_quality_held_out(spark, docs, odd):
     assert list(knots) == [0, 1.5, 3] and (np.diff(levels) > 0).all()
 
 
+def test_quality_equals_a_direct_solution(spark, docs):
+    """The same features solved in one piece, calibrated by a plain pool of adjacent violators."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    rows = docs.select("doc_id", "text").toPandas().merge(labels, on="doc_id")
+    x = np.array([quality.statistics(t) for t in rows["text"]])
+    y = rows["quality"].to_numpy(dtype=float)
+    model = quality.fit(spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(5), size=32)
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(scale, 1e-6))
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    lifted = np.column_stack((np.ones(len(z)), z, np.sqrt(2 / 32) * np.cos(z @ model.w + model.b)))
+    beta = np.linalg.solve(lifted.T @ lifted + np.eye(lifted.shape[1]), lifted.T @ y)
+    assert np.allclose(model.beta, beta, atol=1e-6)
+    at = np.round(np.clip(lifted @ beta, -0.5, 1.5) * 2000)
+    blocks = [[k, 1, t] for k, t in sorted(zip(at, y, strict=True))]
+    merged = [[k, sum(b[1] for b in blocks if b[0] == k), sum(b[2] for b in blocks if b[0] == k)] for k in sorted(set(at))]
+    i = 0
+    while i + 1 < len(merged):
+        (a, n, k), (b, m, j) = merged[i], merged[i + 1]
+        if k / n >= j / m:
+            merged[i : i + 2] = [[(a * n + b * m) / (n + m), n + m, k + j]]
+            i = max(0, i - 1)
+        else:
+            i += 1
+    knots, levels = np.array([a / 2000 for a, _, _ in merged]), np.array([(k + 0.01) / (n + 0.02) for _, n, k in merged])
+    assert np.allclose(model.score(x), np.clip(np.interp(np.clip(lifted @ beta, -0.5, 1.5), knots, levels), 0, 1), atol=1e-3)
+    assert quality.statistics("The the a")[quality.FEATURES.index("top_word")] == 2 / 3
+
+
 def plain_stats(text):
     words = [w for w in "".join(" " if c in " \t\n\r\x0b\x0c" else c for c in text or "").split(" ") if w]
     windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
@@ -133,7 +162,7 @@ def plain_stats(text):
 
 
 def test_rule_statistics_and_verdict(spark, docs, odd):
-    for t in [*ODD[:6], *ODD[7:], "a b c d e a b c", *[r.text for r in docs.limit(60).collect()]]:
+    for t in [*ODD, "a b c d e a b c", *[r.text for r in docs.limit(60).collect()]]:
         got = rules.count_text(t)
         want = plain_stats(t)
         assert want[0] == 0 or got[:5] == want, t
@@ -141,6 +170,17 @@ def test_rule_statistics_and_verdict(spark, docs, odd):
     got = rules.apply(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels).join(labels, "doc_id").toPandas()
     live = got[~got.base_failed]
     assert (live.kept == (live.quality == 1)).mean() > 0.95 and live[live.quality == 1].kept.mean() > 0.98
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumns({k: F.lit(1) for k in ("n_words", "rule", "kept", "y", "h")})
+    learnt, apart = labels.where("doc_id % 4 > 0"), labels.where("doc_id % 4 = 0")
+    held = rules.apply(whole, learnt).join(apart, "doc_id").toPandas()
+    held = held[~held.base_failed]
+    assert len(held) > 20 and (held.kept == (held.quality == 1)).mean() > 0.9  # rows that the list did not learn from
+    stats = storage.materialize(rules.statistics(docs, ["doc_id"]))
+    list_ = rules.Rules([(rules.Condition("unique_ratio", False, 0.5), rules.Condition("mean_word", True, 4.0)), (rules.Condition("digit_ratio", True, 0.0),)])
+    for r in stats.withColumn("rule", list_.expression()).collect():
+        ratio = {k: r[a] / max(r[b], 1) for k, (a, b) in rules.RATIOS.items()}
+        hits = [i for i, rule in enumerate(list_.rules) if all((ratio[c.name] > c.at) == c.above for c in rule)]
+        assert r.rule == (hits[0] if hits else None)
     none = rules.apply(odd, labels.limit(0))
     assert none.count() == len(ODD) + 2 and none.where("kept = base_failed").count() == 0
     assert rules.apply(docs.limit(0), labels).count() == 0
@@ -553,3 +593,19 @@ def test_line_dedup_of_long_copies(spark):
     rows = {r["doc_id"]: r for r in linededup.deduplicate(docs).collect()}
     assert rows[1]["text"] == text and rows[1]["n_removed"] == 0
     assert rows[2]["text"] == "its own end" and rows[2]["n_removed"] == 40_000
+
+
+def test_queries_return_their_contracts_columns(spark):
+    """Names and types that other programs rely on; more columns may follow."""
+    from quantloom.llm.queries import QUERIES
+
+    want = {
+        "op1_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double", "op2_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+        "op3_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+        "op4_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint", "op5_line_dedup": "doc_id bigint, text string", "op6_source_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+        "op7_document_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "op9_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+        "op10_license_scan": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    }
+    for name, columns in want.items():
+        assert set(columns.split(", ")) <= {f"{k} {t}" for k, t in QUERIES[name](spark, SF).dtypes}, name
