@@ -10,7 +10,7 @@ from quantloom.functions import lexicons as lex
 from quantloom.functions.columns import clamp, rounded
 from quantloom.operators import backtest, indicators, quality, relative, scores, text
 from quantloom.plans import queries as q
-from quantloom.plans.analyze import analyze
+from quantloom.plans.analyze import analyze, full_analysis
 from quantloom.plans.queries import COMBINED, EVAL, FOLDS, FUND, METRICS, NEWS, ORACLE, PLACEHOLDERS, QUERIES, REL, SPLIT, SV, TECH, WALK, B, Query, W, exact, q6, query, r6
 from quantloom.sources import schemas, sinks, tables
 
@@ -37,7 +37,7 @@ def src_prices_period(spark, sf_dir):
 def src_rel(spark, sf_dir):
     """The three calendar windows of the relative measures, from one scan."""
     prices = q._bars(spark, sf_dir)
-    age = F.datediff(F.lit(tables.latest_date(prices)), F.col("bar_date"))
+    age = F.datediff(F.lit(tables.as_of(spark, sf_dir)), F.col("bar_date"))
     spans = F.explode(F.filter(F.array(F.lit(90), F.lit(365), F.lit(252)), lambda d: d >= age)).alias("days")
     return prices.where(age <= 365).select("ticker", "bar_date", spans).groupBy("ticker", "days").agg(F.count("*").alias("n"), F.min("bar_date").cast("string").alias("first"), F.max("bar_date").cast("string").alias("last"))
 
@@ -101,7 +101,7 @@ def constructors(spark, sf_dir):
 def min_rows_guard(spark, sf_dir):
     """The default result of tickers with under 70 rows; null where the rules decide."""
     prices = q._bars(spark, sf_dir)
-    n = tables.history(prices, tables.latest_date(prices), 180).groupBy("ticker").agg(F.count("*").alias("n_rows"))
+    n = tables.history(prices, tables.as_of(spark, sf_dir), 180).groupBy("ticker").agg(F.count("*").alias("n_rows"))
     short = F.col("n_rows") < 70
     return n.select("ticker", "n_rows", F.when(short, 50).alias("score"), F.when(short, "HOLD").alias("signal"), F.when(short, 40).alias("confidence"))
 
@@ -348,7 +348,7 @@ def win_fwd_return(spark, sf_dir):
 @query(f"WITH {B}, {q._ret(365, 'ticker', 'bars', 'o')} SELECT ticker, {q6('ret')} FROM o")
 def win_first_last(spark, sf_dir):
     prices = q._bars(spark, sf_dir)
-    return relative.period_return(prices, tables.latest_date(prices), 365, "ticker").select("ticker", *r6("ret"))
+    return relative.period_return(prices, tables.as_of(spark, sf_dir), 365, "ticker").select("ticker", *r6("ret"))
 
 
 @query(f"WITH {B} SELECT ticker, CAST(max(bar_date) AS VARCHAR) AS bar_date, floor(arg_max(close, bar_date) * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS close FROM bars GROUP BY 1")
@@ -380,7 +380,7 @@ LONG = FOLDS.replace("WHERE back <= 150", "WHERE bar_date >= (SELECT max(bar_dat
 
 def _long_macd(spark, sf_dir) -> DataFrame:
     prices = q._bars(spark, sf_dir)
-    return indicators.macd(indicators.closes(tables.history(prices, tables.latest_date(prices), 730)))
+    return indicators.macd(indicators.closes(tables.history(prices, tables.as_of(spark, sf_dir), 730)))
 
 
 @query(f"{LONG} SELECT ticker, {q6('macd', 'signal_line')} FROM f")
@@ -401,7 +401,7 @@ hs AS (SELECT *, greatest(0, least(100, 50 + CASE WHEN rsi < 30 THEN 20 WHEN rsi
 def tech_v1(spark, sf_dir):
     """First variant over two years; missing indicators take their defaults."""
     prices = q._bars(spark, sf_dir)
-    recent = tables.history(prices, tables.latest_date(prices), 730)
+    recent = tables.history(prices, tables.as_of(spark, sf_dir), 730)
     last = indicators.true_range(indicators.rsi_sma(recent)).groupBy("ticker").agg(F.max_by(F.struct("rsi", "atr", "close"), "bar_date").alias("z"))
     folds = indicators.macd(indicators.closes(recent)).select("ticker", "macd", "signal_line")
     rows = last.join(folds, "ticker").select("ticker", scores.safe(F.col("z.rsi"), 50.0).alias("rsi"), (scores.safe(F.col("z.atr"), 0.0) / scores.safe(F.col("z.close"), 100.0) * 100).alias("atr_pct"), scores.safe(F.col("macd"), 0.0).alias("macd"), scores.safe(F.col("signal_line"), 0.0).alias("signal_line"))
@@ -461,10 +461,10 @@ def macro_interpret(spark, sf_dir):
 # The batch and its sinks
 
 
-@query(f"{COMBINED} SELECT ticker, tech, fund, news, combined, signal, agreement FROM cs JOIN sg USING (ticker, combined)")
+@query(q.FULL)
 def run_full_analysis(spark, sf_dir):
-    """All modules' scores beside the combination: one plan for the universe."""
-    return analyze(spark, sf_dir).select("ticker", *(F.coalesce(c, F.lit(50.0)).alias(c) for c in ("tech", "fund", "news")), "combined", "signal", "agreement")
+    """All nine modules of every ticker: one plan for the universe."""
+    return q._full(full_analysis(spark, sf_dir))
 
 
 @query(f"{COMBINED} SELECT ticker, combined, signal, agreement, 5 AS indicators FROM sg")
@@ -472,21 +472,21 @@ def run_daily_batch(spark, sf_dir):
     return analyze(spark, sf_dir).select("ticker", "combined", "signal", "agreement", F.size("macro").alias("indicators"))
 
 
-@query(f"{COMBINED} SELECT ticker, 'ticker=' || ticker AS folder, '{{\"signal\":\"' || signal || '\"}}' AS line FROM sg")
+@query(f"{COMBINED} SELECT ticker, combined, signal, agreement FROM sg")
 def sink_json_ticker(spark, sf_dir):
-    """The line and the folder of each ticker, as ``sinks.write_json(by='ticker')`` lays them out."""
-    return analyze(spark, sf_dir).select("ticker", F.concat(F.lit("ticker="), F.col("ticker")).alias("folder"), F.to_json(F.struct("signal")).alias("line"))
+    """A folder of JSON for each ticker, written and read back."""
+    return sinks.json_round_trip(analyze(spark, sf_dir).select("ticker", "combined", "signal", "agreement"), by="ticker")
 
 
 def _cells(*names: str) -> str:
     return " || ".join(f"'<td>' || {n} || '</td>'" for n in names)
 
 
-@query(f"{COMBINED} SELECT ticker, '<tr>' || {_cells('ticker', 'signal', "printf('%.2f', combined)", "printf('%.2f', agreement)")} || '</tr>' AS line FROM sg")
+@query(f"{COMBINED} SELECT '<tr>' || {_cells('ticker', 'signal', "printf('%.2f', combined)", "printf('%.2f', agreement)")} || '</tr>' AS value FROM sg")
 def sink_html_report(spark, sf_dir):
-    """The report's rows, formatted on the executors."""
+    """The report's rows, formatted on the executors, written and read back."""
     b = analyze(spark, sf_dir)
-    return b.select("ticker", sinks.html_row(F.col("ticker"), F.col("signal"), F.format_string("%.2f", "combined"), F.format_string("%.2f", "agreement")).alias("line"))
+    return sinks.page_round_trip(b.select(sinks.html_row(F.col("ticker"), F.col("signal"), F.format_string("%.2f", "combined"), F.format_string("%.2f", "agreement")).alias("value")))
 
 
 @query(f"{COMBINED} SELECT ticker, '<h1>' || ticker || '</h1><table><tr>' || {_cells('CAST(CAST(tech AS DECIMAL(9,2)) AS VARCHAR)', 'CAST(CAST(fund AS DECIMAL(9,2)) AS VARCHAR)', 'CAST(CAST(news AS DECIMAL(9,2)) AS VARCHAR)', 'signal')} || '</tr></table>' AS page FROM cs JOIN sg USING (ticker, combined)")
@@ -511,7 +511,7 @@ def sink_dashboard(spark, sf_dir):
     return _dashboard(spark, sf_dir)
 
 
-@query(f"SELECT 'reports/dashboard.html' AS path, length(page) AS chars FROM ({DASH}) p")
+@query(f"SELECT page AS value, length(page) AS chars FROM ({DASH}) p")
 def sink_dashboard_file(spark, sf_dir):
-    """Where the page goes and its length; ``sinks.write_page`` writes it."""
-    return _dashboard(spark, sf_dir).select(F.lit("reports/dashboard.html").alias("path"), F.length("page").cast("long").alias("chars"))
+    """The page as it is read back from its file, and its length."""
+    return sinks.page_round_trip(_dashboard(spark, sf_dir)).select("value", F.length("value").cast("long").alias("chars"))

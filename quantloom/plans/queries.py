@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from quantloom.functions import lexicons as lex
 from quantloom.functions.columns import rounded
 from quantloom.operators import backtest, indicators, quality, relative, scores, text
-from quantloom.plans.analyze import analyze, technical_modules
+from quantloom.plans.analyze import analyze, full_analysis, technical_modules
 from quantloom.sources import sinks, tables
 from quantloom.streaming import bars as stream_bars
 
@@ -80,7 +80,7 @@ def _history(days: int, least: int) -> str:
 
 def _recent(spark: SparkSession, sf_dir: str, days: int, least: int) -> DataFrame:
     prices = _bars(spark, sf_dir)
-    return tables.history(prices, tables.latest_date(prices), days, least).select("ticker", F.col("bar_date").cast("string").alias("bar_date"), *r6("close"), "volume", "n_rows")
+    return tables.history(prices, tables.as_of(spark, sf_dir), days, least).select("ticker", F.col("bar_date").cast("string").alias("bar_date"), *r6("close"), "volume", "n_rows")
 
 
 @query(_history(180, 70))
@@ -113,12 +113,12 @@ def last_n(spark, sf_dir):
     return indicators.last_rows(_bars(spark, sf_dir), 150).select("ticker", F.col("bar_date").cast("string").alias("bar_date"), *r6("close"))
 
 
-@query("SELECT user_id AS ticker, count(*) AS filings, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS form4, count(CASE WHEN event_type = 'purchase' AND CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 7 THEN 1 END) AS recent_form4 FROM events GROUP BY user_id")
+@query("SELECT user_id AS ticker, count(*) AS filings, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS form4, count(CASE WHEN event_type = 'purchase' AND CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 90 THEN 1 END) AS recent_form4 FROM events GROUP BY user_id")
 def agg_filtered_count(spark, sf_dir):
-    """Form-4 count of the newest days by company (the test data spans a month: 7 days in place of 90)."""
+    """Form-4 count of the newest 90 days by company."""
     f = tables.filings(spark, sf_dir)
     as_of = tables.latest_date(f, "filed")
-    return f.groupBy("ticker").agg(F.count("*").alias("filings"), F.count_if(F.col("form") == "4").alias("form4"), F.count_if((F.col("form") == "4") & (F.col("filed") > F.date_sub(F.lit(as_of), 7))).alias("recent_form4"))
+    return f.groupBy("ticker").agg(F.count("*").alias("filings"), F.count_if(F.col("form") == "4").alias("form4"), F.count_if((F.col("form") == "4") & (F.col("filed") > F.date_sub(F.lit(as_of), 90))).alias("recent_form4"))
 
 
 @query("""WITH f AS (SELECT user_id AS ticker, CASE event_type WHEN 'purchase' THEN '4' WHEN 'view' THEN '10-Q' WHEN 'click' THEN '10-K' ELSE '8-K' END AS form, CAST(CAST(ts AS DATE) AS VARCHAR) AS filed, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS pos FROM events)
@@ -322,19 +322,19 @@ def _ret(days: int, key: str, frm: str, name: str) -> str:
 @query(f"WITH {B}, etf AS (SELECT sector, bar_date, avg(close) AS close FROM bars GROUP BY 1, 2), {_ret(90, 'ticker, sector', 'bars', 'o')}, {_ret(90, 'sector', 'etf', 'e')}, v AS (SELECT ticker, o.ret, coalesce(e.ret, 0) AS sector_ret, o.ret - coalesce(e.ret, 0) AS relative FROM o LEFT JOIN e USING (sector)) SELECT ticker, {q6('ret', 'sector_ret', 'relative')}, CASE WHEN relative > 5 THEN 'OUTPERFORMING' WHEN relative < -5 THEN 'UNDERPERFORMING' WHEN relative IS NOT NULL THEN 'IN_LINE' END AS signal FROM v")
 def rs_relative(spark, sf_dir):
     prices = _sectors(spark, sf_dir)
-    return relative.relative_strength(prices, tables.latest_date(prices)).select("ticker", *r6("ret", "sector_ret", "relative"), "signal")
+    return relative.relative_strength(prices, tables.as_of(spark, sf_dir)).select("ticker", *r6("ret", "sector_ret", "relative"), "signal")
 
 
 @query(f"WITH {B}, h AS (SELECT * FROM bars WHERE bar_date >= (SELECT max(bar_date) FROM bars) - 365), m AS (SELECT bar_date, close / lag(close) OVER (ORDER BY bar_date) - 1 AS m FROM (SELECT bar_date, avg(close) AS close FROM h GROUP BY 1)), x AS (SELECT ticker, bar_date, close / lag(close) OVER {W}) - 1 AS r FROM h), v AS (SELECT ticker, coalesce(covar_samp(r, m) / nullif(var_pop(m), 0), 0) AS beta FROM x JOIN m USING (bar_date) WHERE r IS NOT NULL AND m IS NOT NULL GROUP BY 1) SELECT ticker, {q6('beta')}, CASE WHEN beta > 1.2 THEN 'HIGH_VOLATILITY' WHEN beta > 0.8 THEN 'MARKET_CORRELATED' ELSE 'LOW_VOLATILITY' END AS signal FROM v")
 def rs_beta(spark, sf_dir):
     prices = _bars(spark, sf_dir)
-    return relative.beta(prices, tables.latest_date(prices)).select("ticker", *r6("beta"), "signal")
+    return relative.beta(prices, tables.as_of(spark, sf_dir)).select("ticker", *r6("beta"), "signal")
 
 
 @query(f"WITH {B}, {_ret(252, 'ticker', 'bars', 'o')}, v AS (SELECT ticker, ret AS momentum FROM o) SELECT ticker, {q6('momentum')}, CASE WHEN momentum > 20 THEN 'STRONG_UP' WHEN momentum > 5 THEN 'MODERATE_UP' WHEN momentum < -20 THEN 'STRONG_DOWN' WHEN momentum < -5 THEN 'MODERATE_DOWN' WHEN momentum IS NOT NULL THEN 'SIDEWAYS' END AS trend, CASE WHEN momentum IS NULL THEN 'not enough rows' END AS error FROM v")
 def rs_momentum(spark, sf_dir):
     prices = _bars(spark, sf_dir)
-    return relative.momentum(prices, tables.latest_date(prices)).select("ticker", *r6("momentum"), "trend", "error")
+    return relative.momentum(prices, tables.as_of(spark, sf_dir)).select("ticker", *r6("momentum"), "trend", "error")
 
 
 # Fundamentals and macro
@@ -530,7 +530,7 @@ def dq_anomaly(spark, sf_dir):
 @query(f"WITH {B} SELECT ticker, CAST(max(bar_date) AS VARCHAR) AS newest, CASE WHEN (SELECT max(bar_date) FROM bars) - max(bar_date) > 7 THEN 'STALE' ELSE 'FRESH' END AS freshness FROM bars GROUP BY 1")
 def dq_freshness(spark, sf_dir):
     prices = _bars(spark, sf_dir)
-    as_of = tables.latest_date(prices)
+    as_of = tables.as_of(spark, sf_dir)
     return prices.groupBy("ticker").agg(F.max("bar_date").alias("d")).select("ticker", F.col("d").cast("string").alias("newest"), quality.stale(F.lit(as_of), F.col("d")).alias("freshness"))
 
 
@@ -672,9 +672,24 @@ def sig_result(spark, sf_dir):
     return analyze(spark, sf_dir).select("ticker", "combined", "signal", "agreement")
 
 
-@query(f"{COMBINED} SELECT ticker, '{{\"ticker\":\"' || ticker || '\",\"signal\":\"' || signal || '\"}}' AS line FROM sg")
+BT, WF, PH = ("periods", "accuracy", "win_rate", "total_return", "worst", "sharpe"), ("windows", "in_sample", "out_sample", "consistency", "confidence", "verdict"), (1, 5, 20, 60)
+FULL = f"""SELECT s.ticker, s.combined, s.signal, s.agreement, f.revenue, f.de_ratio, f.insiders, {', '.join(f'b.{c} AS bt_{c}' for c in BT)}, {', '.join(f'w.{c} AS wf_{c}' for c in WF)}, {', '.join(f'p.up_{h}, p.n_{h}' for h in PH)}
+FROM ({ORACLE['sig_result']}) s LEFT JOIN ({ORACLE['fund_fetch']}) f ON f.ticker = s.ticker LEFT JOIN ({ORACLE['bt_metrics']}) b ON b.ticker = s.ticker LEFT JOIN ({ORACLE['wf_run']}) w ON w.ticker = s.ticker
+LEFT JOIN (SELECT ticker, {', '.join(f'max(CASE WHEN horizon = {h} THEN p_up END) AS up_{h}, max(CASE WHEN horizon = {h} THEN samples END) AS n_{h}' for h in PH)} FROM ({ORACLE['pred_horizons']}) GROUP BY ticker) p ON p.ticker = s.ticker"""
+
+
+def _full(batch: DataFrame) -> DataFrame:
+    """The modules' main values side by side."""
+    six = {"accuracy", "win_rate", "total_return", "worst", "sharpe", "in_sample", "out_sample", "consistency"}
+    value = lambda m, c, name: (rounded(F.col(f"{m}.{c}")) if c in six else F.col(f"{m}.{c}")).alias(name)
+    ahead = [x for h in PH for x in (rounded(F.col("prediction")[str(h)]["p_up"]).alias(f"up_{h}"), F.col("prediction")[str(h)]["samples"].alias(f"n_{h}"))]
+    return batch.select("ticker", "combined", "signal", "agreement", rounded(F.col("sec.revenue")).alias("revenue"), rounded(F.col("sec.de_ratio")).alias("de_ratio"), F.col("insider.insiders").alias("insiders"), *(value("backtest", c, f"bt_{c}") for c in BT), *(value("walk_forward", c, f"wf_{c}") for c in WF), *ahead)
+
+
+@query(FULL)
 def sink_json_batch(spark, sf_dir):
-    return analyze(spark, sf_dir).select("ticker", F.to_json(F.struct("ticker", "signal")).alias("line"))
+    """All nine modules written as JSON and read back."""
+    return _full(sinks.json_round_trip(full_analysis(spark, sf_dir)))
 
 
 @query(f"{COMBINED} SELECT printf('%s: %s (%.2f, agreement %.2f)', ticker, signal, combined, agreement) AS line FROM sg")

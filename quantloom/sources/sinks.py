@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +31,50 @@ def write_json(batch: DataFrame, path: str, *, by: str | None = None) -> None:
     (out.partitionBy(by) if by else out).json(path)
 
 
+def stamped(folder: str, ticker: str, when) -> str:
+    """The path of one ticker's file: its name and the time, to the second, at which it was made."""
+    return f"{folder}/{ticker}_{when:%Y%m%d_%H%M%S}.json"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; a temporary folder in local mode where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='quantloom-sink-')}/sink-{uuid.uuid4().hex}"
+
+
+def json_round_trip(batch: DataFrame, *, by: str | None = None) -> DataFrame:
+    """Write the batch as JSON and read it back with its own schema: what a reader of the files gets."""
+    path = scratch(batch.sparkSession)
+    write_json(batch, path, by=by)
+    return batch.sparkSession.read.schema(batch.schema).json(path)
+
+
+def page_round_trip(page: DataFrame) -> DataFrame:
+    """Write a one-column page and read it back, one row a line: ``value``."""
+    path = scratch(page.sparkSession)
+    done = write_page(page, path)
+    if "error" in done:
+        raise OSError(done["error"])
+    return page.sparkSession.read.text(path)
+
+
+def ticker_section(modules: list[str]) -> Column:
+    """One ticker's part of the report: a heading and a row for each module with its values as JSON, ``N/A`` where it has none."""
+    rows = (F.concat(F.lit(f"<tr><th>{html.escape(m)}</th><td>"), F.coalesce(escaped(F.to_json(m)), F.lit("N/A")), F.lit("</td></tr>")) for m in modules)
+    return F.concat(F.lit("<section><h2>"), escaped(F.col("ticker")), F.lit("</h2><p>"), escaped(F.col("signal")), F.lit(" "), F.format_number("combined", 2), F.lit("</p><table>"), *rows, F.lit("</table></section>"))
+
+
+def write_report(batch: DataFrame, modules: list[str], path: str) -> dict[str, str]:
+    """The report as HTML files of sections, a line each, formatted and written by the executors: ``{path}``, or ``{error}``."""
+    try:
+        batch.select(ticker_section(modules).alias("value")).write.mode("overwrite").text(path)
+    except Exception as e:  # noqa: BLE001 - the caller gets the reason, as for any report
+        return {"error": str(e).splitlines()[0]}
+    return {"path": path}
+
+
 def summary_lines(batch: DataFrame) -> DataFrame:
     """``line``: one text line a ticker."""
     return batch.select(F.format_string("%s: %s (%.2f, agreement %.2f)", "ticker", "signal", "combined", "agreement").alias("line"))

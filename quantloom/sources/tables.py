@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,15 +17,29 @@ def supplier_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "ticker", "sector", "s_acctbal")
 
 
+def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_quantity <> 0")
+
+
+def turn() -> Column:
+    """A trade's place in its day, by order, line, part and supplier: one fixed-width number, so that bars aggregate by hash. A key too long for its digits is an error."""
+    key = F.lit(0)
+    for name, digits in (("l_orderkey", 13), ("l_linenumber", 4), ("l_partkey", 11), ("l_suppkey", 10)):
+        key = (key * F.lit(10**digits).cast("decimal(14,0)") + F.col(name).cast(f"decimal({digits},0)")).cast("decimal(38,0)")
+    return key
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars: ``ticker, bar_date, open, high, low, close, volume``. Trades within a day are ordered by all their columns, so that the result is one."""
-    trades = table(spark, sf_dir, "lineitem").where("l_quantity <> 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.to_date("l_shipdate").alias("bar_date"))
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    """Daily bars: ``ticker, bar_date, open, high, low, close, volume``. The first and the last trade of a day are those by ``turn``."""
     px = F.col("l_extendedprice") / F.col("l_quantity")
+    trades = traded(spark, sf_dir).select("l_suppkey", F.to_date("l_shipdate").alias("bar_date"), "l_quantity", px.alias("px"), turn().alias("turn"))
     named = trades.join(supplier_nations(spark, sf_dir).select("l_suppkey", "ticker"), "l_suppkey")
-    return named.groupBy("ticker", "bar_date").agg(
-        F.min_by(px, order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, order).alias("close"), F.sum("l_quantity").cast("long").alias("volume"),
-    )
+    return named.groupBy("ticker", "bar_date").agg(F.min_by("px", "turn").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "turn").alias("close"), F.sum("l_quantity").cast("long").alias("volume"))
+
+
+def as_of(spark: SparkSession, sf_dir: str):
+    """The date of the newest trade, from a scan of the two columns it needs: the clock of everything that looks back from today."""
+    return traded(spark, sf_dir).agg(F.to_date(F.max("l_shipdate"))).first()[0]
 
 
 def latest_date(frame: DataFrame, date_col: str = "bar_date"):

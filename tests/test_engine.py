@@ -1,5 +1,7 @@
 """Queries against their SQL, sinks, streams and the entry points."""
 
+import datetime
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -7,6 +9,7 @@ import pytest
 
 import __spark_entry__
 from quantloom.plans import inventory as queries
+from quantloom.plans.analyze import full_analysis
 from quantloom.sources import schemas, sinks, tables
 from quantloom.streaming import bars
 
@@ -72,6 +75,31 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_batch_has_every_module(spark):
+    batch = full_analysis(spark, SF)
+    modules = ["sec", "insider", "backtest", "walk_forward", "technical", "news_module", "fundamentals", "signal_module", "prediction"]
+    assert set(modules) | {"lineage", "macro"} <= set(batch.columns)
+    row = batch.orderBy("ticker").first()
+    assert set(row.lineage) == set(modules) and row.signal_module.signal == row.signal and row.sec.revenue > 0
+    page = batch.select(sinks.ticker_section(["sec", "backtest"]).alias("x")).first()[0]
+    assert page.startswith("<section><h2>") and page.count("<tr>") == 2
+    assert sinks.status(batch.limit(0)).first()["health"] == "DEGRADED" and sinks.status(batch).first()["health"] == "OPERATIONAL"
+
+
+def test_report_and_stamped_paths(spark, tmp_path):
+    batch = full_analysis(spark, SF).limit(3)
+    assert sinks.write_report(batch, ["sec", "prediction"], str(tmp_path / "r")) == {"path": str(tmp_path / "r")}
+    assert spark.read.text(str(tmp_path / "r")).count() == 3
+    (tmp_path / "file").write_text("x")
+    assert set(sinks.write_report(batch, ["sec"], str(tmp_path / "file" / "r"))) == {"error"}
+    assert sinks.stamped("out", "AAA", datetime.datetime(2024, 1, 2, 3, 4, 5)) == "out/AAA_20240102_030405.json"
+
+
+def test_bars_aggregate_by_hash(spark):
+    plan = tables.bars(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_plan_prunes_and_pushes(spark):
     plan = tables.bars(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "PushedFilters: [IsNotNull(l_quantity)" in plan
