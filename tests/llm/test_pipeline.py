@@ -1,14 +1,22 @@
 """The pipeline against the same steps in plain Python, and the registered queries."""
 
 import collections
+import hashlib
+import itertools
+import math
 import random
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 import __spark_entry__  # noqa: E402
-from quantloom.llm import packing, queries, shingles, storage  # noqa: E402
+from quantloom.llm import langid, mixing, packing, queries, shingles, storage  # noqa: E402
+from tests.llm.test_operators import plain_codes, plain_dedup, plain_identify  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,3 +124,98 @@ def test_near_dedup_keeps_unrelated_documents_with_no_id_or_the_same_id(spark):
     rows = [(None, t) for t in texts[:4]] + [(None, texts[0])] + [(5, t) for t in texts[4:8]] + [(7, texts[4]), (None, texts[5]), (None, edited), (9, texts[8])]
     got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.deduplicate_near(spark, _rows(spark, rows), SF).collect())
     assert got == collections.Counter([(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:8]] + [(9, texts[8])])
+
+
+def plain_mix(docs):
+    """Documents with the number of their copies, by the words of module ``mixing``: targets, then strata from the largest down."""
+    size = {i: len(t.split()) for i, (_, t, _) in enumerate(docs)}
+    names = sorted({s for _, _, s in docs if s is not None}) + [None] * any(s is None for _, _, s in docs)
+    total = {s: sum(size[i] for i, d in enumerate(docs) if d[2] == s) for s in names}
+    weight, full = {s: k % 3 + 1 for k, s in enumerate(names)}, set()
+    while True:
+        rest, left = sum(total.values()) - sum(3 * total[s] for s in full), sum(weight[s] for s in names if s not in full)
+        over = {s for s in names if s not in full and weight[s] * rest / left >= 3 * total[s]}
+        if not over:
+            break
+        full |= over
+    out = {}
+    for s in names:
+        target = 3.0 * total[s] if s in full else weight[s] * rest / left
+        mine = [i for i, d in enumerate(docs) if d[2] == s]
+        base = math.floor(target / total[s])
+        missing, words = target - base * total[s], float(total[s])
+        stratum = lambda i: max(0, size[i].bit_length() - 6) * 64 + (size[i] >> max(0, size[i].bit_length() - 6))
+        draw = lambda i: hashlib.md5(f"mix:{'null' if docs[i][0] is None else docs[i][0]}:{docs[i][1]}".encode()).hexdigest()[:12]
+        for k in sorted({stratum(i) for i in mine}, reverse=True):
+            here = sorted((i for i in mine if stratum(i) == k), key=draw)
+            toss = int(hashlib.md5(f"mix:{'null' if s is None else s}:{k}".encode()).hexdigest()[:12], 16) / mixing.SPAN
+            take = min(len(here), math.floor(min(1.0, max(0.0, missing / words)) * len(here) + toss))
+            held = sum(size[i] for i in here)
+            missing, words = missing - take * held / len(here), words - held
+            out |= {i: base + (n < take) for n, i in enumerate(here)}
+    return out
+
+
+def plain_run(docs, model):
+    """``(doc_id, text, source)`` in, the pieces' ``(doc_id, piece, start, length, crc32)`` out."""
+    kept = []
+    for i, t, s in docs:
+        found = plain_identify(t, model)
+        if found == langid.UND:
+            continue
+        n = len(plain_codes(t))
+        bits = [p * math.log2(len(plain_codes(r)) + 2) / n for p, r in zip(found[1], model.refs, strict=True)]
+        if 1 / sum(2.0 ** -((b - min(bits)) * min(n, 50)) for b in bits) >= 0.5:
+            kept.append((i, t, s))
+    lines = plain_dedup([((i is None, i or 0), t) for i, t, _ in kept], 50)
+    kept = [(i, lines[i is None, i or 0], s) for i, _, s in kept]
+    kept = [d for d in kept if d[1].split()]
+    top = list(range(len(kept)))
+
+    def find(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t, _ in kept)]
+    for a, b in itertools.combinations(range(len(kept)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            top[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for k, d in enumerate(kept):
+        groups[find(k)].append(d)
+    kept = [min(g, key=lambda d: (d[0] is None, d[0] or 0)) for g in groups.values()]
+    tok, out = Tokenizer.from_file(queries.tokenizer_paths()["path"]), collections.Counter()
+    for k, copies in plain_mix(kept).items():
+        ids = np.array([*tok.encode(kept[k][1], add_special_tokens=False).ids, 2], dtype="<u4")
+        edges = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        for n, (a, z) in enumerate(itertools.pairwise(edges)):
+            out[kept[k][0], n, a, z - a, zlib.crc32(ids[a:z].tobytes())] += copies
+    return +out
+
+
+def test_run_equals_five_plain_stages(spark, tmp_path):
+    """Nulls, an empty and a long text, junk, a repeated passage of lines, exact and near copies, a null id, and columns with the operators' own names."""
+    real = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 300 and 2500").orderBy("doc_id").limit(36).collect()]
+    r = random.Random(3)
+    passage = "\n".join(" ".join(_words(f"p{k}", 20)) for k in range(4))
+    rows = [(x.doc_id, x.text, x.lang, x.source) for x in real]
+    rows += [(10**6, None, "en", "src1"), (10**6 + 1, "", "en", "src1"), (10**6 + 2, "1234 %% 99", None, None), (None, "a document with no id " + real[3].text[::-1], "en", None)]
+    rows += [(10**6 + 3 + k, real[k].text + "\n" + passage + "\n" + real[k + 9].text[:200], "en", "src2") for k in range(3)]
+    rows += [(10**6 + 10 + k, real[k].text, "en", "src3") for k in (5, 6)]
+    near = real[7].text.split(" ")
+    near[len(near) // 2] = "changed"
+    rows += [(10**6 + 20, " ".join(near), "en", "src4"), (10**6 + 21, " ".join(r.sample(real[8].text.split(), len(real[8].text.split())) * 6), real[8].lang, "src4")]
+    made = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    made = made.withColumns({k: F.lit("mine") for k in ("score", "lang_pred", "n_lines", "n_removed", "_rid", "_lines", "rid", "copies", "target", "h")})
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.fit(docs.where(~F.coalesce(queries.held(4, 2), F.lit(False))).select("text", "lang"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == plain_run([(i, t, s) for i, t, _, s in rows], model)
+    first = corpus_pipeline.identify_language(spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and {x.score for x in first.collect()} == {"mine"}
+    empty = docs.limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        empty = storage.materialize(f(spark, empty, str(tmp_path)))
+        assert empty.count() == 0
