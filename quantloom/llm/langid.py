@@ -50,14 +50,15 @@ class Model:
 def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 64, doc_chars: int = 512) -> Model:
     """Learn from labelled rows; nulls in either column are ignored, repeated texts count once, every label is learned.
 
-    The sample is bounded by ``docs_per_lang`` texts a language, those with the smallest hashes among its distinct texts, and by
+    The sample is bounded by ``docs_per_lang`` texts a language, chosen by their hashes among its distinct texts, and by
     ``doc_chars`` characters of each, which begin at a hashed place of the whole text. The model holds every language; so does the driver.
     """
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    # The smallest hashes of 32 shares of a language first, then those of the language: no task gets what every partition holds of one language.
-    shared = rows.select("lang", "h").distinct().withColumn("share", F.pmod("h", F.lit(32)))
-    some = shared.withColumn("k", F.row_number().over(Window.partitionBy("lang", "share").orderBy("h"))).where(F.col("k") <= docs_per_lang).drop("k", "share")
-    picked = materialize(some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs_per_lang))
+    # Distinct texts are thinned by their hashes to about four times what is needed of each language, so that next to nothing is sorted; a language with fewer keeps all.
+    span, enough = 1 << 40, F.lit(float(4 * docs_per_lang))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    thin = rows.select("lang", "h").join(counts, "lang").where(F.pmod("h", F.lit(span)) < F.ceil(enough / F.col("n") * span)).select("lang", "h").distinct()
+    picked = materialize(thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs_per_lang))
     first = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - doc_chars + 1, F.lit(1))).cast("int") + 1
     window = rows.join(picked, ["lang", "h"]).groupBy("lang", "k").agg(F.min(F.substring("text", first, F.lit(doc_chars))).alias("text"))
     parts: dict[str, list[str]] = {}
