@@ -56,7 +56,8 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", doc
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     # Distinct texts are thinned by their hashes to about four times what is needed of each language, so that next to nothing is sorted; a language with fewer keeps all.
     span, enough = 1 << 40, F.lit(float(4 * docs_per_lang))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    counts = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    counts = F.broadcast(counts) if counts.count() <= 100_000 else counts
     thin = rows.select("lang", "h").join(counts, "lang").where(F.pmod("h", F.lit(span)) < F.ceil(enough / F.col("n") * span)).select("lang", "h").distinct()
     picked = materialize(thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs_per_lang))
     first = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - doc_chars + 1, F.lit(1))).cast("int") + 1
