@@ -33,6 +33,16 @@ def exact_round(x: Column | str, places: int = 2) -> Column:
     return once(col(x).cast("double"), body)
 
 
+def told(x: Column | str) -> Column:
+    """A value inside a text; null is told as ``None``."""
+    return F.coalesce(col(x).cast("string"), F.lit("None"))
+
+
+def age_hours(at: Column | str, now_micros: int | None) -> Column:
+    """Hours from a time to the run's clock, given in microseconds since 1970."""
+    return (F.lit(now_micros).cast("long") - F.unix_micros(col(at))) / F.lit(3600000000.0)
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

@@ -91,11 +91,18 @@ def options(frame: DataFrame) -> DataFrame:
 
 
 def analysts(frame: DataFrame) -> DataFrame:
-    """``score, signal`` from ``buy_pct, sell_pct, upside, trend``; 0 counts as missing."""
+    """``score, signal, components`` (a map of what moved the score) from ``buy_pct, sell_pct, upside, trend``; 0 counts as missing."""
     buy, up = F.when(given("buy_pct"), F.col("buy_pct")), F.when(given("upside"), F.col("upside"))
     total = 50.0 + ladder(buy, (">", 70, 40.0), (">", 50, 30.0), other=-15.0, missing=0.0) + F.when(F.col("buy_pct").isNotNull() & (F.col("sell_pct") > 30), -30.0).otherwise(0.0)
     total = total + ladder(up, (">", 20, 20.0), (">", 10, 10.0), ("<", -10, -20.0), other=0.0, missing=0.0) + F.when(F.col("trend") == "UPGRADING", 15.0).when(F.col("trend") == "DOWNGRADING", -15.0).otherwise(0.0)
-    return frame.withColumn("score", clamp(total)).withColumn("signal", ladder("score", (">", 65, "STRONG_BUY"), (">", 55, "BUY"), ("<", 35, "SELL"), ("<", 45, "REDUCE"), other="HOLD"))
+    parts = {
+        "buy_pct": ladder(buy, (">", 70, "VERY_BULLISH_CONSENSUS"), (">", 50, "BULLISH_CONSENSUS"), other="MIXED_CONSENSUS", missing=None),
+        "sell_pct": F.when(F.col("sell_pct") > 30, "BEARISH_CONSENSUS"),
+        "upside": ladder(up, (">", 20, "HIGH_UPSIDE"), (">", 10, "MODERATE_UPSIDE"), ("<", -10, "DOWNSIDE_RISK"), other=None, missing=None),
+        "trend": F.when(F.col("trend") == "UPGRADING", "POSITIVE_MOMENTUM").when(F.col("trend") == "DOWNGRADING", "NEGATIVE_MOMENTUM"),
+    }
+    named = F.map_filter(F.create_map(*(x for k, v in parts.items() for x in (F.lit(k), v.cast("string")))), lambda k, v: v.isNotNull())
+    return frame.withColumn("score", clamp(total)).withColumn("components", named).withColumn("signal", ladder("score", (">", 65, "STRONG_BUY"), (">", 55, "BUY"), ("<", 35, "SELL"), ("<", 45, "REDUCE"), other="HOLD"))
 
 
 def short_squeeze(frame: DataFrame) -> DataFrame:

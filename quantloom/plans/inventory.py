@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.functions import columns
 from quantloom.functions import lexicons as lex
 from quantloom.functions.columns import clamp, rounded
 from quantloom.operators import backtest, indicators, quality, relative, scores, text
@@ -238,6 +239,33 @@ def join_rules(spark, sf_dir):
     return tables.table(spark, sf_dir, "orders").select(k, name.alias("metric")).join(quality.metric_rules(spark), "metric", "left").select("o_orderkey", "metric", "low", "high")
 
 
+# Scalar functions
+
+
+@query("SELECT doc_id, coalesce(lang, 'None') || ' ' || coalesce(source, 'None') AS said, substring(text, 1, 80) AS shown FROM documents")
+def fn_text(spark, sf_dir):
+    """A text made of two fields, a null one told as None, and the first 80 characters of another for display."""
+    d = tables.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat_ws(" ", columns.told("lang"), columns.told("source")).alias("said"), F.substring("text", 1, 80).alias("shown"))
+
+
+@query("SELECT o_orderkey, o_totalprice, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS thousands, printf('%.2f', CAST(o_orderkey AS DOUBLE)) AS fixed FROM orders")
+def fn_number_format(spark, sf_dir):
+    """Whole numbers with thousands separators, and two decimals."""
+    whole = F.format_number(F.floor("o_totalprice"), 0)
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", whole.alias("thousands"), F.format_string("%.2f", F.col("o_orderkey").cast("double")).alias("fixed"))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS t FROM events), a AS (SELECT event_id, t, (epoch_us((SELECT max(t) FROM e)) - epoch_us(t)) / 3600000000::DOUBLE AS hours FROM e)
+SELECT event_id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(t, '%Y%m%d_%H%M%S') AS stamp, hours, CASE WHEN hours < 24 THEN 95 WHEN hours < 72 THEN 80 WHEN hours < 168 THEN 60 ELSE 30 END AS fresh FROM a""")
+def fn_age(spark, sf_dir):
+    """When each event was, as ISO text and as a file stamp, its age in hours at the newest event and what that is worth."""
+    e = tables.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    aged = e.withColumn("hours", columns.age_hours("at", e.agg(F.unix_micros(F.max("at"))).first()[0]))
+    iso = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss")
+    return aged.select("event_id", iso.alias("iso"), F.date_format("at", "yyyyMMdd_HHmmss").alias("stamp"), "hours", scores.freshness("hours").alias("fresh"))
+
+
 # Aggregates
 
 

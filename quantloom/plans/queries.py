@@ -147,9 +147,17 @@ def src_earnings_page(spark, sf_dir):
     return tables.table(spark, sf_dir, "pages").select("page_id", F.when(html.contains("Earnings Date") | html.contains("earnings-date"), "PENDING").alias("status"))
 
 
-@query("SELECT * FROM (VALUES ('10-K', 3, 60), ('10-K', 4, 60), ('10-Q', 5, 45), ('10-Q', 8, 45), ('10-Q', 11, 45)) t(form, month, days)")
+@query("""WITH a AS (SELECT CAST(max(l_shipdate) AS DATE) AS day FROM lineitem WHERE l_quantity <> 0), f AS (SELECT * FROM (VALUES ('10-K', 3, 60), ('10-K', 4, 60), ('10-Q', 5, 45), ('10-Q', 8, 45), ('10-Q', 11, 45)) t(form, month, days))
+SELECT n_name AS ticker, form, month, days, CAST(e AS VARCHAR) AS period_end, CAST(e + days AS VARCHAR) AS due, 'SEC Filing Calendar' AS source, 1 AS source_tier, 0.95::DOUBLE AS confidence
+ FROM (SELECT *, CAST(date_trunc(CASE form WHEN '10-K' THEN 'year' ELSE 'quarter' END, day) AS DATE) - 1 AS e FROM a, f) x, nation""")
 def src_sec_deadlines(spark, sf_dir):
-    return spark.createDataFrame(lex.FILING_DEADLINES, "form string, month int, days int")
+    """The usual months and delays of every ticker's filings, and when those of the last ended year and quarter are due."""
+    day = F.lit(tables.as_of(spark, sf_dir))
+    ended = F.date_sub(F.when(F.col("form") == "10-K", F.trunc(day, "year")).otherwise(F.trunc(day, "quarter")), 1)
+    rules = F.explode(F.array(*(F.struct(F.lit(f).alias("form"), F.lit(m).alias("month"), F.lit(d).alias("days")) for f, m, d in lex.FILING_DEADLINES))).alias("r")
+    known = tables.table(spark, sf_dir, "nation").select(F.col("n_name").alias("ticker"), rules).select("ticker", "r.*").withColumn("ended", ended)
+    due = F.date_add("ended", F.col("days")).cast("string").alias("due")
+    return known.select("ticker", "form", "month", "days", F.col("ended").cast("string").alias("period_end"), due, F.lit("SEC Filing Calendar").alias("source"), F.lit(1).alias("source_tier"), F.lit(0.95).alias("confidence"))
 
 
 PLACEHOLDERS = ("src_dividend_page", "src_short", "src_short_exempt", "src_short_trend", "src_ratings", "src_targets", "src_estimates", "src_rating_trend", "src_transcript", "src_next_earnings", "src_iv", "src_pcr", "src_oi", "src_skew", "src_flow", "sector_growth")
@@ -433,13 +441,26 @@ def opt_score(spark, sf_dir):
     return scores.options(p).select("p_partkey", "score", "sentiment", "iv_signal", "bias")
 
 
+def _rated(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = tables.table(spark, sf_dir, "supplier").select(k, (k * 37 % 101).cast("double").alias("buy_pct"), (k * 13 % 61).cast("double").alias("sell_pct"), (k * 11 % 53 - 20).cast("double").alias("upside"), F.when(k % 3 == 0, "UPGRADING").when(k % 3 == 1, "DOWNGRADING").otherwise("STABLE").alias("trend"))
+    return scores.analysts(s)
+
+
 @query("""WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 37 % 101 AS DOUBLE) AS buy, CAST(s_suppkey * 13 % 61 AS DOUBLE) AS sell, CAST(s_suppkey * 11 % 53 - 20 AS DOUBLE) AS up, s_suppkey % 3 AS t FROM supplier),
 r AS (SELECT *, CAST(greatest(0, least(100, 50 + CASE WHEN buy = 0 THEN 0 WHEN buy > 70 THEN 40 WHEN buy > 50 THEN 30 ELSE -15 END + CASE WHEN sell > 30 THEN -30 ELSE 0 END + CASE WHEN up = 0 THEN 0 WHEN up > 20 THEN 20 WHEN up > 10 THEN 10 WHEN up < -10 THEN -20 ELSE 0 END + CASE t WHEN 0 THEN 15 WHEN 1 THEN -15 ELSE 0 END)) AS DOUBLE) AS score FROM s)
 SELECT s_suppkey, score, CASE WHEN score > 65 THEN 'STRONG_BUY' WHEN score > 55 THEN 'BUY' WHEN score < 35 THEN 'SELL' WHEN score < 45 THEN 'REDUCE' ELSE 'HOLD' END AS signal FROM r""")
 def analyst_score(spark, sf_dir):
-    k = F.col("s_suppkey")
-    s = tables.table(spark, sf_dir, "supplier").select(k, (k * 37 % 101).cast("double").alias("buy_pct"), (k * 13 % 61).cast("double").alias("sell_pct"), (k * 11 % 53 - 20).cast("double").alias("upside"), F.when(k % 3 == 0, "UPGRADING").when(k % 3 == 1, "DOWNGRADING").otherwise("STABLE").alias("trend"))
-    return scores.analysts(s).select("s_suppkey", "score", "signal")
+    return _rated(spark, sf_dir).select("s_suppkey", "score", "signal")
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey * 37 % 101 AS buy, s_suppkey * 13 % 61 AS sell, s_suppkey * 11 % 53 - 20 AS up, s_suppkey % 3 AS t FROM supplier)
+SELECT s_suppkey, concat_ws(',', CASE WHEN buy = 0 THEN NULL WHEN buy > 70 THEN 'buy_pct=VERY_BULLISH_CONSENSUS' WHEN buy > 50 THEN 'buy_pct=BULLISH_CONSENSUS' ELSE 'buy_pct=MIXED_CONSENSUS' END, CASE WHEN sell > 30 THEN 'sell_pct=BEARISH_CONSENSUS' END,
+ CASE WHEN up > 20 THEN 'upside=HIGH_UPSIDE' WHEN up > 10 THEN 'upside=MODERATE_UPSIDE' WHEN up < -10 THEN 'upside=DOWNSIDE_RISK' END, CASE t WHEN 0 THEN 'trend=POSITIVE_MOMENTUM' WHEN 1 THEN 'trend=NEGATIVE_MOMENTUM' END) AS components FROM s""")
+def analyst_components(spark, sf_dir):
+    """What moved each rating, in the order of evaluation."""
+    shown = F.transform(F.map_entries("components"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return _rated(spark, sf_dir).select("s_suppkey", F.concat_ws(",", shown).alias("components"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_size * 0.6::DOUBLE END AS si, CAST(p_partkey % 10 AS DOUBLE) AS dtc, CAST(p_partkey % 31 - 10 AS DOUBLE) AS mom FROM part),
