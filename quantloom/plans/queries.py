@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 from pyspark.sql.window import Window
 
 from quantloom.functions import lexicons as lex
@@ -207,7 +208,12 @@ def scan_latest_n(spark, sf_dir):
 
 @query("SELECT CAST(max(ts) AS VARCHAR) AS newest FROM events")
 def scan_any_ts(spark, sf_dir):
-    return tables.table(spark, sf_dir, "events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("newest"))
+    """The newest time as SQL's cast writes it: without the fraction's last zeros, or any fraction of a whole second; an instant (a UTC column) with the session's offset."""
+    events = tables.table(spark, sf_dir, "events")
+    newest = F.ltrim(F.max("ts").cast("string"), F.lit("+"))  # Spark's sign before years of five digits
+    if isinstance(events.schema["ts"].dataType, TimestampType):
+        newest = F.concat(newest, F.regexp_replace(F.date_format(F.max("ts"), "xxx"), ":00$", ""))
+    return events.agg(newest.alias("newest"))
 
 
 @query("SELECT t AS name FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) v(t)")

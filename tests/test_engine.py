@@ -145,3 +145,16 @@ def test_page_sink(spark, tmp_path):
     assert set(sinks.write_page(page, str(tmp_path / "file" / "p"))) == {"error"}
     row = spark.range(1).select(sinks.html_row(sinks.F.lit("a<'b"), sinks.F.lit(None).cast("string")))
     assert row.first()[0] == "<tr><td>a&lt;&#x27;b</td><td></td></tr>"
+
+
+@pytest.mark.parametrize("newest", ["2024-01-31 10:20:30.262310", "2024-01-31 10:20:30.5", "2024-01-31 10:20:30", "12024-01-31 10:20:30.000001", None])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamptz"])
+def test_newest_time_is_written_as_sql_casts_it(spark, tmp_path, newest, kind):
+    """Fractions that end in zeros, whole seconds, a year of five digits, no time at all, and a column of instants."""
+    c = duckdb.connect()
+    c.sql("set timezone = 'UTC'")
+    last = "null" if newest is None else f"'{newest}'"
+    c.sql(f"copy (select ts::{kind} as ts from (values ({last}), ({'null' if newest is None else "'2024-01-01 00:00:00.123456'"})) v(ts)) to '{tmp_path}/events.parquet' (format parquet)")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = c.sql(queries.ORACLE["scan_any_ts"]).fetchall()
+    assert [tuple(r) for r in queries.QUERIES["scan_any_ts"](spark, str(tmp_path)).collect()] == want
