@@ -65,6 +65,7 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def deduplicate_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, five-word shingles at similarity 0.8 or more, the row with the smallest id stays.
 
+    What is compared is found by SimHash fingerprints, met in sub-grids of segment bit counts and checked on their bits; the similarity follows exactly.
     A null id comes after all others; among equal ids the smallest row hash decides. Groups are told apart by their root, not by an id.
     Rows are known by id and text. Only candidates, and what goes, are joined with the texts, a small part of them as a rule.
     """

@@ -1,12 +1,13 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
-
-MinHash bands find the candidates: BANDS keys of ROWS minima each, so that two texts
-of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, all but one in ten
-thousand at 0.8. A pair is linked only if the shingle sets themselves reach the similarity.
-Large groups of near copies don't become rows of all their pairs: first every text is compared
-with the most central member of each of its buckets. Then, in buckets that are not yet one
-component, all that is still apart is compared, in small buckets as pairs, in crowded ones
-by tasks over two blocks of texts that emit spanning trees.
+"""Near copies by SimHash and the exact Jaccard similarity of word shingles.
+
+A text's fingerprint is a SimHash of WORDS x 64 bits over its distinct shingles. As in ``simhash``, each word is cut into
+sub-grids, PARTS of them, of two-bit segments, and a grid range-join on the segments' bit counts meets what is within radius 1 in one
+sub-grid at least: every pair within WORDS * PARTS * 2 - 1 = 55 of the 448 bits, and most beyond. At a similarity of 0.8 two
+fingerprints differ in some 68 bits, and 3 pairs in 100,000 meet in none of the 28 sub-grids. What meets is checked exactly
+on the CHECKED first words, where 7 pairs in a million at 0.8 differ in more than NEAR of 192 bits.
+A pair is linked only if the shingle sets themselves reach the similarity. For that the texts that fingerprints connect form
+a bucket: first each is compared with one member, then all that is still apart, in small buckets as pairs,
+in crowded ones by tasks over two blocks of texts that emit spanning trees. Large groups of near copies don't become rows of all their pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +26,16 @@ from quantloom.llm.components import components
 from quantloom.llm.simhash import _forest
 from quantloom.llm.storage import materialize, small_batches
 
-BANDS, ROWS = 24, 5
-#: Shingles whose hashes are permuted at once.
-AT_ONCE = 1024
+WORDS, PARTS = 7, 4
+CHECKED, NEAR = 3, 52
+#: Two-bit segments of a sub-grid, and its cells.
+SEGMENTS = 32 // PARTS
+CELLS = 3**SEGMENTS
+#: Shingles whose bits are counted at once; a count fits a byte.
+AT_ONCE = 255
 #: Buckets of more members are compared in blocks, of so many texts each, over so many shingles at once.
-FEW, BLOCK, COLUMNS = 16, 256, 8192
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FEW, BLOCK, COLUMNS = 4, 256, 8192
+_SALTS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None, *, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -45,34 +51,171 @@ def shingle_set(text: str | None, *, shingle: int = 5, seed: int = 42) -> np.nda
     return np.unique(np.array([digest(flat[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key of each band as a signed long; an empty set has none."""
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS words of bits set in over half of the shingles, each under a hash of its own; an empty set has none."""
     if not len(hashes):
-        return np.zeros(0, dtype=np.int64)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
+    count = np.zeros(64 * WORDS, dtype=np.int64)
     for k in range(0, len(hashes), AT_ONCE):
-        np.minimum(low, (hashes[k : k + AT_ONCE, None] * _FACTORS).min(axis=0), out=low)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+        z = _mixed(hashes[k : k + AT_ONCE, None] + _SALTS)
+        count += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _names(words: np.ndarray) -> np.ndarray:
+    """A long for each row of CHECKED words."""
+    out = np.zeros(len(words), dtype=np.uint64)
+    for column in words.T:
+        out = _mixed((out ^ column) + _SALTS[0])
+    return out.view(np.int64)
 
 
 def sketches(docs: DataFrame, keys: list[str], *, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``keys``, ``sid`` (a hash of the shingle set), ``size`` and the keys of the ``bands`` of every row."""
+    """``keys``, ``sid`` (a hash of the shingle set), ``size``, the fingerprint's ``words`` and ``fid`` (null for none), the name of those that are checked."""
     small_batches(docs.sparkSession)
-    schema = docs.select(*keys).schema.add("sid", "long").add("size", "long").add("bands", ArrayType(LongType()))
+    schema = docs.select(*keys).schema.add("sid", "long").add("size", "long").add("words", ArrayType(LongType())).add("fid", "long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t if isinstance(t, str) else None, shingle=shingle) for t in b[text_col]]
             sid = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield b[keys].assign(sid=sid, size=[len(s) for s in sets], bands=[bands(s) for s in sets])
+            words = [fingerprint(s) for s in sets]
+            names = [int(_names(w[None, :CHECKED])[0]) if len(w) else None for w in words]
+            yield b[keys].assign(sid=sid, size=[len(s) for s in sets], words=[w.view(np.int64) for w in words], fid=pd.array(names, dtype="Int64"))
 
     return docs.select(*keys, text_col).mapInPandas(run, schema)
 
 
+def _trees(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of ``near`` that connect all that it connects, at most one pair for each row and column."""
+    rows, columns = near.any(axis=1), near.any(axis=0)
+    us, vs = [], []
+    while rows.any():
+        reached = np.array([int(rows.argmax())])
+        rows[reached] = False
+        while len(reached):
+            new = np.flatnonzero(near[reached].any(axis=0) & columns)
+            us.append(reached[near[np.ix_(reached, new)].argmax(axis=0)])
+            vs.append(new)
+            columns[new] = False
+            reached = np.flatnonzero(near[:, new].any(axis=1) & rows)
+            us.append(reached)
+            vs.append(new[near[np.ix_(reached, new)].argmax(axis=1)] if len(reached) else reached)
+            rows[reached] = False
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``at``: cell and block, then role, left rows (0) first. The left rows of an unfinished block are carried on."""
+    last, old = -1, np.zeros((0, CHECKED), dtype=np.uint64)
+    us, vs, n = [], [], 0
+
+    def links() -> pa.RecordBatch:
+        u, v = _forest(np.concatenate(us), np.concatenate(vs))
+        us.clear()
+        vs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = b.column(0).to_numpy()
+        words = np.stack([b.column(1 + k).to_numpy() for k in range(CHECKED)], axis=1).view(np.uint64)
+        unit = at >> 1
+        edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(at)]
+        lefts = np.add.reduceat((at & 1) == 0, edges[:-1], dtype=np.int64).tolist()
+        if unit[0] != last:
+            old = old[:0]
+        for i, left in enumerate(lefts):
+            here = words[edges[i] : edges[i + 1]]
+            mine = here[:left] if i or not len(old) else np.concatenate((old, here[:left]))
+            old = mine
+            if not len(mine) or len(mine) + len(here) - left < 2:
+                continue
+            bits = np.bitwise_count(mine[:, None, 0] ^ here[None, :, 0])
+            for k in range(1, CHECKED):
+                bits += np.bitwise_count(mine[:, None, k] ^ here[None, :, k])
+            near = bits <= NEAR
+            hits = np.count_nonzero(near)
+            if hits <= left:  # each with itself
+                continue
+            u, v = _names(mine), _names(here)
+            x, y = np.nonzero(near) if hits <= 8 * sum(near.shape) else _trees(near)
+            us.append(u[x])
+            vs.append(v[y])
+            n += len(x)
+        last = unit[-1]
+        if n > 1 << 19:
+            yield links()
+            n = 0
+    if us:
+        yield links()
+
+
+def _grid(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each fingerprint in each sub-grid, and the cells a step up from it, -1 where a segment has both bits."""
+    pairs = np.uint64(0x5555555555555555)
+    bits = (words & pairs) + ((words >> np.uint64(1)) & pairs)
+    counts = ((bits[:, :, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)).astype(np.int64).reshape(len(words), WORDS * PARTS, SEGMENTS)
+    step = 3 ** np.arange(SEGMENTS)
+    own = counts @ step + CELLS * np.arange(WORDS * PARTS)
+    return own, np.where(counts < 2, own[:, :, None] + step, -1)
+
+
+def _words(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(0).flatten().to_numpy().reshape(b.num_rows, WORDS).view(np.uint64)
+
+
+def _crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cell, n = np.unique(_grid(_words(b))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+
+def _deal(blocks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each cell that a fingerprint lies in (role 0) or looks into (1), and for each block of the cell; it is left in one block of its own cell."""
+        for b in batches:
+            words = _words(b)
+            own, up = _grid(words)
+            who, _, _ = np.nonzero(up >= 0)
+            cell, who = np.concatenate((own.ravel(), up[up >= 0])), np.concatenate((np.repeat(np.arange(len(own)), own.shape[1]), who))
+            role = (np.arange(len(cell)) >= own.size).astype(np.int64)
+            n = blocks[cell]
+            block = np.zeros(len(cell), dtype=np.int64)
+            if (n > 1).any():
+                mine = (_names(words[:, :CHECKED])[who].view(np.uint64) % n.astype(np.uint64)).astype(np.int64)
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                cell, who, role, mine = (np.repeat(x, n) for x in (cell, who, role, mine))
+                role[block != mine] = 1
+            at = (cell * (1 << 20) + block) * 2 + role
+            checked = words[:, :CHECKED].view(np.int64)[who]
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(x)) for x in checked.T)], names=["at", *(f"w{k}" for k in range(CHECKED))])
+
+    return run
+
+
+def near_fingerprints(prints: DataFrame, *, block: int = 4096) -> DataFrame:
+    """Edges ``u``, ``v`` between names (``fid``) of fingerprints that meet in a sub-grid and differ in at most NEAR bits of those checked; trees, not all pairs.
+
+    ``prints`` has ``fid`` and ``words``, each name once. A cell with more than ``block`` fingerprints of its own is dealt out; the driver gets the counts of such cells.
+    """
+    # A file of fingerprints is small, but each becomes some 196 rows: they are dealt out before, not after.
+    words = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid").select("words")
+    small_batches(prints.sparkSession)
+    blocks = np.ones(WORDS * PARTS * CELLS, dtype=np.int64)
+    for r in prints.select("words").mapInArrow(_crowd, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block).toLocalIterator():
+        blocks[r.cell] = -(-r.n // block)
+    dealt = words.mapInArrow(_deal(blocks), "at long, " + ", ".join(f"w{k} long" for k in range(CHECKED)))
+    return dealt.repartition(F.shiftright("at", 1)).sortWithinPartitions("at").mapInArrow(_meet, "u long, v long")
+
+
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -137,31 +280,32 @@ def _crowded(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, prints: DataFrame, *, rid: Column, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``sid`` and ``root`` of every shingle set of ``prints``: one root for all that links of ``percent`` similarity or more connect.
 
-    ``prints`` has ``rid``, ``sid``, ``size``, ``bands``; the expression ``rid`` over ``docs`` finds the texts of candidates again.
+    ``prints`` is what ``sketches`` returns with ``rid``; the expression ``rid`` over ``docs`` finds the texts of candidates again.
+    NEAR is right for a ``percent`` of 80 or more.
     """
-    distinct = materialize(prints.groupBy("sid").agg(F.min("rid").alias("rid"), F.min("size").alias("size"), F.any_value("bands").alias("bands")))
-    buckets = distinct.select("sid", "size", F.explode("bands").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(buckets.join(full, "bucket").select("bucket", "sid", "size", "n"))
-    central = members.groupBy("sid").agg(F.sum("n").alias("met"))
-    members = materialize(members.drop("n").join(central, "sid").select("bucket", "sid", "size", "met"))
-    wanted = central.join(distinct, "sid").select("sid", F.col("rid").alias("_rid"))
+    distinct = materialize(prints.groupBy("sid").agg(F.min("rid").alias("rid"), F.min("size").alias("size"), F.any_value("words").alias("words"), F.any_value("fid").alias("fid")))
+    names = materialize(distinct.where("fid is not null").groupBy("fid").agg(F.any_value("words").alias("words")))
+    joined = components(materialize(near_fingerprints(names))).select(F.col("node").alias("fid"), F.col("root").alias("bucket"))
+    placed = distinct.where("fid is not null").select("sid", "rid", "size", "fid").join(joined, "fid", "left").withColumn("bucket", F.coalesce("bucket", "fid"))
+    full = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = materialize(placed.join(full, "bucket").select("bucket", "sid", "rid", "size"))
+    wanted = members.select(F.col("rid").alias("_rid"), "sid")
     sets = _sets(docs.select(rid.alias("_rid"), "text").join(wanted, "_rid").select("sid", "text"), shingle)
     near = F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent
     pair = F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")
 
-    hub = members.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("far"), "sid", "size")).alias("hub"))
+    hub = members.groupBy("bucket").agg(F.min(F.struct("sid", "size")).alias("hub"))
     hub = hub.select("bucket", F.col("hub.sid").alias("sid2"), F.col("hub.size").alias("size2"))
-    pairs = materialize(members.join(hub, "bucket").where("sid <> sid2").where(near).select(*pair).distinct())
+    pairs = materialize(members.join(hub, "bucket").where("sid <> sid2").where(near).select(*pair))
     found = materialize(_verified(pairs, sets, percent))
 
     roots = components(found).withColumnRenamed("node", "sid")
     rooted = materialize(members.join(roots, "sid", "left").select("bucket", "sid", "size", F.coalesce("root", "sid").alias("root")))
-    several = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "n")
+    several = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 and a <> b").select("bucket", "n")
     apart = materialize(rooted.join(several, "bucket"))
     few = apart.where(F.col("n") <= FEW)
     other = few.select("bucket", F.col("sid").alias("sid2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-    rest = few.join(other, "bucket").where("sid < sid2 and root <> root2").where(near).select(*pair).distinct().join(pairs, ["u", "v"], "left_anti")
+    rest = few.join(other, "bucket").where("sid < sid2 and root <> root2").where(near).select(*pair).join(pairs, ["u", "v"], "left_anti")
     found = materialize(found.union(_verified(materialize(rest), sets, percent)).union(_crowded(apart.where(F.col("n") > FEW), sets, percent)))
     roots = components(found).withColumnRenamed("node", "sid")
     return distinct.select("sid").join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))

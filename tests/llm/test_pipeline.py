@@ -118,6 +118,75 @@ def test_near_dedup_of_a_crowded_group_equals_brute_force(spark):
     assert shingles.overlaps(few, few).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in few] for a in few]
 
 
+def _fingerprints(n=400):
+    """Random fingerprints, and some of each with 1 to 130 bits changed; names and words as ``classes`` passes them."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2, (n // 8, 448), dtype=np.uint8)
+    bits = np.concatenate([base ^ (r.random(base.shape) < share) for share in (0, 0.002, 0.05, 0.1, 0.15, 0.2, 0.25, 0.29)])
+    words = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    return bits, words, shingles._names(words[:, : shingles.CHECKED])
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_fingerprints_meet_in_sub_grids_as_by_brute_force(spark, block):
+    """Within 55 of 448 bits every pair meets; beyond, those whose segment bit counts differ by one at most in a sub-grid. Crowded cells too, and rows of a cell in several batches."""
+    bits, words, names = _fingerprints()
+    counts = bits.reshape(len(bits), 28, 8, 2).sum(axis=3).astype(int)
+    top = {int(x): int(x) for x in names}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    seen = collections.Counter()
+    for i, j in itertools.combinations(range(len(bits)), 2):
+        apart = int((bits[i] != bits[j]).sum())
+        met = bool((np.abs(counts[i] - counts[j]).sum(axis=1) <= 1).any())
+        assert met or apart > 55
+        near = met and int((bits[i, :192] != bits[j, :192]).sum()) <= 52
+        seen[met, near, apart > 55] += 1
+        if near:
+            top[find(int(names[i]))] = find(int(names[j]))
+    assert len(seen) >= 4 and seen[True, True, True] > 50
+    frame = spark.createDataFrame([(int(f), w.view(np.int64).tolist()) for f, w in zip(names, words, strict=True)], "fid long, words array<long>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = {x: x for x in top}
+    links = shingles.near_fingerprints(frame, block=block).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def root(x):
+        while got[x] != x:
+            x = got[x]
+        return x
+
+    for r in links:
+        got[root(r.u)] = root(r.v)
+    groups = lambda f: sorted(sorted(x for x in top if f(x) == y) for y in {f(x) for x in top})
+    assert groups(root) == groups(find)
+
+
+def test_trees_of_a_crowded_cell_connect_what_all_pairs_do():
+    r = np.random.default_rng(6)
+    for share in (0.02, 0.1, 0.7):
+        near = r.random((40, 60)) < share
+        x, y = shingles._trees(near)
+        assert near[x, y].all() and len(x) <= 100
+        u, v = shingles._forest(x, 40 + y)
+        every = shingles._forest(*(a + b for a, b in zip(np.nonzero(near), (0, 40), strict=True)))
+        assert dict(zip(u.tolist(), v.tolist(), strict=True)) == dict(zip(every[0].tolist(), every[1].tolist(), strict=True))
+
+
+def test_near_dedup_compares_only_what_fingerprints_connect(spark, monkeypatch):
+    """The stage's candidates are those of the SimHash sub-grids; no other path finds pairs."""
+    rows = [(2 * k + j, " ".join(_words(k)[: 200 - 5 * j])) for k in range(8) for j in range(2)]
+    near = lambda: {r.doc_id for r in corpus_pipeline.deduplicate_near(spark, _rows(spark, rows), SF).collect()}
+    assert near() == set(range(0, 16, 2))
+    monkeypatch.setattr(shingles, "near_fingerprints", lambda names: spark.createDataFrame([], "u long, v long"))
+    assert near() == set(range(16))
+
+
 def test_near_dedup_keeps_unrelated_documents_with_no_id_or_the_same_id(spark):
     texts = [" ".join(_words(f"t{k}", 60)) for k in range(9)]
     edited = texts[8] + " end"
