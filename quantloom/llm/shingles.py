@@ -13,6 +13,7 @@ in crowded ones by tasks over two blocks of texts that emit spanning trees. Larg
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,17 @@ from pyspark.sql.types import ArrayType, LongType
 
 from quantloom.llm.components import components
 from quantloom.llm.simhash import _forest
-from quantloom.llm.storage import materialize, small_batches
+from quantloom.llm.storage import marked, materialize, small_batches
 
 WORDS, PARTS = 7, 4
 CHECKED, NEAR = 3, 52
-#: Two-bit segments of a sub-grid, and its cells.
+#: Two-bit segments of a sub-grid, and how many of them tell its groups apart at least: the largest holds 1 in 224 of all rows.
 SEGMENTS = 32 // PARTS
-CELLS = 3**SEGMENTS
+LEAST_DEPTH = 3
+#: A fingerprint as it is sent to a group: its cell there and the bits that are checked.
+ROW = np.dtype([("cell", "<u2"), ("words", "<u8", (CHECKED,))])
+#: Fingerprints that are dealt out at once, those that look into a block at once, and those compared with four times as many at once.
+DEALT, LOOKING, SIDE = 2048, 1 << 18, 512
 #: Shingles whose bits are counted at once; a count fits a byte.
 AT_ONCE = 255
 #: Buckets of more members are compared in blocks, of so many texts each, over so many shingles at once.
@@ -111,109 +116,171 @@ def _trees(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``at``: cell and block, then role, left rows (0) first. The left rows of an unfinished block are carried on."""
-    last, old = -1, np.zeros((0, CHECKED), dtype=np.uint64)
-    us, vs, n = [], [], 0
-
-    def links() -> pa.RecordBatch:
-        u, v = _forest(np.concatenate(us), np.concatenate(vs))
-        us.clear()
-        vs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        at = b.column(0).to_numpy()
-        words = np.stack([b.column(1 + k).to_numpy() for k in range(CHECKED)], axis=1).view(np.uint64)
-        unit = at >> 1
-        edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(at)]
-        lefts = np.add.reduceat((at & 1) == 0, edges[:-1], dtype=np.int64).tolist()
-        if unit[0] != last:
-            old = old[:0]
-        for i, left in enumerate(lefts):
-            here = words[edges[i] : edges[i + 1]]
-            mine = here[:left] if i or not len(old) else np.concatenate((old, here[:left]))
-            old = mine
-            if not len(mine) or len(mine) + len(here) - left < 2:
-                continue
-            bits = np.bitwise_count(mine[:, None, 0] ^ here[None, :, 0])
-            for k in range(1, CHECKED):
-                bits += np.bitwise_count(mine[:, None, k] ^ here[None, :, k])
-            near = bits <= NEAR
-            hits = np.count_nonzero(near)
-            if hits <= left:  # each with itself
-                continue
-            u, v = _names(mine), _names(here)
-            x, y = np.nonzero(near) if hits <= 8 * sum(near.shape) else _trees(near)
-            us.append(u[x])
-            vs.append(v[y])
-            n += len(x)
-        last = unit[-1]
-        if n > 1 << 19:
-            yield links()
-            n = 0
-    if us:
-        yield links()
-
-
-def _grid(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each fingerprint in each sub-grid, and the cells a step up from it, -1 where a segment has both bits."""
+def _grid(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The group of each fingerprint in each sub-grid, by its first ``depth`` segments, its cell there, and the groups a step up, -1 where a segment has both bits."""
     pairs = np.uint64(0x5555555555555555)
     bits = (words & pairs) + ((words >> np.uint64(1)) & pairs)
     counts = ((bits[:, :, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)).astype(np.int64).reshape(len(words), WORDS * PARTS, SEGMENTS)
     step = 3 ** np.arange(SEGMENTS)
-    own = counts @ step + CELLS * np.arange(WORDS * PARTS)
-    return own, np.where(counts < 2, own[:, :, None] + step, -1)
+    group = counts[:, :, :depth] @ step[:depth] + 3**depth * np.arange(WORDS * PARTS)
+    return group, counts[:, :, depth:] @ step[: SEGMENTS - depth], np.where(counts[:, :, :depth] < 2, group[:, :, None] + step[:depth], -1)
 
 
-def _words(b: pa.RecordBatch) -> np.ndarray:
-    return b.column(0).flatten().to_numpy().reshape(b.num_rows, WORDS).view(np.uint64)
+def _ups(cell: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``cell`` and the cells of the same group a step up from theirs."""
+    step = 3 ** np.arange(SEGMENTS - depth)
+    row, k = np.nonzero(cell[:, None] // step % 3 < 2)
+    return row, cell[row] + step[k]
 
 
-def _crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Fingerprints of DEALT rows and more at once."""
+    some, n = [], 0
     for b in batches:
-        cell, n = np.unique(_grid(_words(b))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+        some.append(b.column(0).flatten().to_numpy().reshape(b.num_rows, WORDS).view(np.uint64))
+        n += b.num_rows
+        if n >= DEALT:
+            yield np.concatenate(some)
+            some, n = [], 0
+    if n:
+        yield np.concatenate(some)
 
 
-def _deal(blocks: np.ndarray):
+def _crowd(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each cell that a fingerprint lies in (role 0) or looks into (1), and for each block of the cell; it is left in one block of its own cell."""
-        for b in batches:
-            words = _words(b)
-            own, up = _grid(words)
-            who, _, _ = np.nonzero(up >= 0)
-            cell, who = np.concatenate((own.ravel(), up[up >= 0])), np.concatenate((np.repeat(np.arange(len(own)), own.shape[1]), who))
-            role = (np.arange(len(cell)) >= own.size).astype(np.int64)
-            n = blocks[cell]
-            block = np.zeros(len(cell), dtype=np.int64)
+        for words in _words(batches):
+            group, n = np.unique(_grid(words, depth)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(n)], names=["grp", "n"])
+
+    return run
+
+
+def _deal(depth: int, blocks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packets of rows for each block of a group: of fingerprints left there (role 0), left in another block of it (1), and a step below it (2)."""
+        for words in _words(batches):
+            group, cell, up = _grid(words, depth)
+            who, grid, _ = np.nonzero(up >= 0)
+            role = np.repeat([0, 2], [group.size, len(who)])
+            cell = np.concatenate((cell.ravel(), cell[who, grid]))
+            group, who = np.concatenate((group.ravel(), up[up >= 0])), np.concatenate((np.repeat(np.arange(len(words)), group.shape[1]), who))
+            n = blocks[group]
+            block = np.zeros(len(group), dtype=np.int64)
             if (n > 1).any():
                 mine = (_names(words[:, :CHECKED])[who].view(np.uint64) % n.astype(np.uint64)).astype(np.int64)
                 block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                cell, who, role, mine = (np.repeat(x, n) for x in (cell, who, role, mine))
-                role[block != mine] = 1
-            at = (cell * (1 << 20) + block) * 2 + role
-            checked = words[:, :CHECKED].view(np.int64)[who]
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(x)) for x in checked.T)], names=["at", *(f"w{k}" for k in range(CHECKED))])
+                group, cell, who, role, mine = (np.repeat(x, n) for x in (group, cell, who, role, mine))
+                role[(block != mine) & (role == 0)] = 1
+            at = ((group << 20) + block << 2) + role
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            rows = np.empty(len(at), dtype=ROW)
+            rows["cell"], rows["words"] = cell[order], words[who[order], :CHECKED]
+            edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
+            packets = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges * ROW.itemsize), pa.py_buffer(rows)])
+            yield pa.RecordBatch.from_arrays([pa.array(at[edges[:-1]]), packets.cast(pa.binary())], names=["at", "rows"])
+
+    return run
+
+
+def _near(mine: np.ndarray, here: np.ndarray) -> np.ndarray:
+    bits = np.bitwise_count(mine[:, None, 0] ^ here[None, :, 0])
+    for k in range(1, CHECKED):
+        bits += np.bitwise_count(mine[:, None, k] ^ here[None, :, k])
+    return bits <= NEAR
+
+
+def _compare(left: np.ndarray, edges: np.ndarray, look: list[tuple[int, np.ndarray]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of near pairs of ``left``, sorted by cell with ``edges`` between cells, and what looks: role 0 and 1 into its own cell and those a step up, role 2 into its own."""
+    words = np.concatenate([x["words"] for _, x in look])
+    cell = np.concatenate([x["cell"] for _, x in look]).astype(np.int64)
+    inside = np.flatnonzero(np.repeat([r < 2 for r, _ in look], [len(x) for _, x in look]))
+    row, up = _ups(cell[inside], depth)
+    who, cell = np.concatenate((np.arange(len(cell)), inside[row])), np.concatenate((cell, up))
+    full = edges[cell + 1] > edges[cell]
+    who, cell = who[full], cell[full]
+    order = np.argsort(cell, kind="stable")
+    who, cell = who[order], cell[order]
+    cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+    own = look[0][0] == 0
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            continue
+        mine, here = left["words"][edges[cell[a]] : edges[cell[a] + 1]], words[who[a:b]]
+        if own and len(here) == 1:  # with itself
+            continue
+        whole = len(mine) <= SIDE and len(here) <= 4 * SIDE
+        for i in range(0, len(mine), SIDE):
+            for j in range(0, len(here), 4 * SIDE):
+                x, y = mine[i : i + SIDE], here[j : j + 4 * SIDE]
+                near = _near(x, y)
+                hits = np.count_nonzero(near)
+                if hits <= (len(mine) if own and whole else 0):  # each with itself
+                    continue
+                p, q = np.nonzero(near) if hits <= 8 * sum(near.shape) else _trees(near)
+                yield _names(x)[p], _names(y)[q]
+
+
+def _meet(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packets sorted by ``at``: group and block, then role. A block's own rows are held, what looks into it comes in parts."""
+        us, vs, found = [], [], 0
+
+        def links() -> pa.RecordBatch:
+            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            us.clear()
+            vs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        packets = ((at, np.frombuffer(x.as_buffer(), dtype=ROW)) for b in batches for at, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for _, unit in groupby(packets, lambda x: x[0] >> 2):
+            left, edges, look, n = None, None, [], 0
+            for role, rows in chain(((at & 3, x) for at, x in unit), [(-1, None)]):
+                if role == 0:
+                    look.append((0, rows))
+                    continue
+                if left is None:
+                    if not look:  # nothing is left in this block
+                        break
+                    left = np.concatenate([x for _, x in look])
+                    left = left[np.argsort(left["cell"], kind="stable")]
+                    edges = np.searchsorted(left["cell"], np.arange(3 ** (SEGMENTS - depth) + 1))
+                if role > 0:
+                    look.append((role, rows))
+                    n += len(rows)
+                if look and (role < 0 or n >= LOOKING):
+                    for u, v in _compare(left, edges, look, depth):
+                        us.append(u)
+                        vs.append(v)
+                        found += len(u)
+                        if found > 1 << 19:
+                            yield links()
+                            found = 0
+                    look, n = [], 0
+        if us:
+            yield links()
 
     return run
 
 
-def near_fingerprints(prints: DataFrame, *, block: int = 4096) -> DataFrame:
+def near_fingerprints(prints: DataFrame, *, block: int = 1 << 19, depth: int | None = None) -> DataFrame:
     """Edges ``u``, ``v`` between names (``fid``) of fingerprints that meet in a sub-grid and differ in at most NEAR bits of those checked; trees, not all pairs.
 
-    ``prints`` has ``fid`` and ``words``, each name once. A cell with more than ``block`` fingerprints of its own is dealt out; the driver gets the counts of such cells.
+    ``prints`` has ``fid`` and ``words``, each name once. A sub-grid is dealt out in groups by its first ``depth`` segments, as many as bring the mean group to half a block, LEAST_DEPTH at least;
+    only steps in these segments send a fingerprint to other groups, those in the rest are taken where the group lies.
+    A group with more than ``block`` fingerprints of its own is dealt out in blocks; the driver gets the counts of such groups.
     """
-    # A file of fingerprints is small, but each becomes some 196 rows: they are dealt out before, not after.
+    if depth is None:
+        n = prints.count()
+        depth = next((d for d in range(LEAST_DEPTH, SEGMENTS) if n * 0.375**d <= block / 2), SEGMENTS)
+    # A file of fingerprints is small, but each becomes some 28 * (1 + 0.75 * depth) rows: they are dealt out before, not after.
     words = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid").select("words")
     small_batches(prints.sparkSession)
-    blocks = np.ones(WORDS * PARTS * CELLS, dtype=np.int64)
-    for r in prints.select("words").mapInArrow(_crowd, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block).toLocalIterator():
-        blocks[r.cell] = -(-r.n // block)
-    dealt = words.mapInArrow(_deal(blocks), "at long, " + ", ".join(f"w{k} long" for k in range(CHECKED)))
-    return dealt.repartition(F.shiftright("at", 1)).sortWithinPartitions("at").mapInArrow(_meet, "u long, v long")
+    blocks = np.ones(WORDS * PARTS * 3**depth, dtype=np.int64)
+    for r in prints.select("words").mapInArrow(_crowd(depth), "grp long, n long").groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > block).toLocalIterator():
+        blocks[r.grp] = -(-r.n // block)
+    dealt = words.mapInArrow(_deal(depth, blocks), "at long, rows binary")
+    return dealt.repartition(F.shiftright("at", 2)).sortWithinPartitions("at").mapInArrow(_meet(depth), "u long, v long")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -222,8 +289,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t if isinstance(t, str) else None, shingle=shingle) for t in b["text"]]
             yield pd.DataFrame({"sid": b["sid"], "hashes": [s.view(np.int64) for s in sets]})
 
-    made = texts.mapInPandas(run, "sid long, hashes array<long>")
-    return materialize(made.groupBy("sid").agg(F.any_value("hashes").alias("hashes")))
+    return materialize(texts.mapInPandas(run, "sid long, hashes array<long>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +356,8 @@ def classes(docs: DataFrame, prints: DataFrame, *, rid: Column, shingle: int = 5
     full = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = materialize(placed.join(full, "bucket").select("bucket", "sid", "rid", "size"))
     wanted = members.select(F.col("rid").alias("_rid"), "sid")
-    sets = _sets(docs.select(rid.alias("_rid"), "text").join(wanted, "_rid").select("sid", "text"), shingle)
+    texts = marked(docs.select(rid.alias("_rid"), "text"), "_rid", wanted, "_maybe").where("_maybe").join(wanted, "_rid")
+    sets = _sets(texts.groupBy("_rid").agg(F.any_value("sid").alias("sid"), F.any_value("text").alias("text")), shingle)
     near = F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent
     pair = F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")
 

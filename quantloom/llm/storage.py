@@ -93,6 +93,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits for each value that ``marked`` looks for, as a power of two, and the power of two of all bits, at least and at most: the table has a row for 64 bits.
+PER_VALUE, LEAST_BITS, MOST_BITS = 4, 12, 24
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """``rows`` and ``flag``, true wherever the hash ``key`` is one of ``wanted``'s, and for some others; null nowhere.
+
+    A bit table of ``wanted``'s keys is broadcast, at most 2**18 longs, so that what is surely not wanted need not be shuffled. With very many
+    keys it marks more of the others. ``wanted`` is a stage table: it is read twice.
+    """
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, wanted.count().bit_length() + PER_VALUE))
+    slot = F.pmod(F.col(key), F.lit(size)).cast("long")
+    bit = F.expr("shiftleft(1L, cast(_slot & 63 as int))")
+    table = wanted.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_at")).agg(F.bit_or(bit).alias("_bits"))
+    found = rows.withColumn("_slot", slot).join(F.broadcast(table), F.shiftright("_slot", 6) == F.col("_at"), "left")
+    return found.withColumn(flag, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_slot", "_at", "_bits")
+
+
 def written() -> list[str]:
     """Stage tables of this process, oldest first."""
     return list(_written)

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -167,6 +168,83 @@ def test_fingerprints_meet_in_sub_grids_as_by_brute_force(spark, block):
     assert groups(root) == groups(find)
 
 
+@pytest.mark.parametrize("depth", [0, 1, 3, 6, 8])
+@pytest.mark.parametrize("most", [1, 5, 10**6])
+def test_groups_of_any_depth_and_blocks_of_any_size_meet_the_same_pairs(monkeypatch, depth, most):
+    """What looks into a block comes in parts of some rows, large cells are compared in parts, and packets of a block lie in several batches."""
+    monkeypatch.setattr(shingles, "LOOKING", 30)
+    monkeypatch.setattr(shingles, "SIDE", 3 if most == 5 else 512)
+    monkeypatch.setattr(shingles, "DEALT", 50)
+    bits, words, names = _fingerprints(200)
+    bits[8:60] = bits[8] ^ (np.random.default_rng(8).random((52, 448)) < 0.02)
+    words = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    names = shingles._names(words[:, : shingles.CHECKED])
+    counts = bits.reshape(len(bits), 28, 8, 2).sum(axis=3).astype(int)
+    met = np.array([(np.abs(counts - c).sum(axis=2) <= 1).any(axis=1) for c in counts])
+    near = met & np.array([(bits[:, :192] != b[:192]).sum(axis=1) <= 52 for b in bits])
+    x, y = np.nonzero(near & ~np.eye(len(bits), dtype=bool))
+    want = shingles._forest(names[x], names[y])
+    assert len(want[0]) > 100
+    groups = shingles._grid(words, depth)[0]
+    blocks = np.maximum(1, -(-np.bincount(groups.ravel(), minlength=28 * 3**depth) // most))
+    sent = [pa.RecordBatch.from_arrays([pa.array(w.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["words"]) for w in np.array_split(words, 7)]
+    dealt = pa.Table.from_batches(shingles._deal(depth, blocks)(iter(sent))).sort_by("at")
+    if most == 10**6:
+        assert sum(len(x.as_py()) for x in dealt["rows"]) == shingles.ROW.itemsize * (groups.size + np.count_nonzero(shingles._grid(words, depth)[2] >= 0))
+    made = pa.Table.from_batches(shingles._meet(depth)(iter(dealt.to_batches(max_chunksize=11))))
+    got = shingles._forest(made["u"].to_numpy(), made["v"].to_numpy())
+    assert dict(zip(got[0].tolist(), got[1].tolist(), strict=True)) == dict(zip(want[0].tolist(), want[1].tolist(), strict=True))
+
+
+def _shuffled(spark, f):
+    """MB that ``f`` writes to shuffle files."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    f()
+    return (total() - before) / 1e6
+
+
+def test_near_dedup_sends_few_bytes_of_fingerprints_and_only_texts_of_candidates(spark):
+    """Not a row for each of some 196 cells, and no shuffle of all texts where the candidates are too many to be broadcast."""
+    r = np.random.default_rng(9)
+    frame = spark.createDataFrame([(k, w) for k, w in enumerate(r.integers(-(2**63), 2**63, (10000, 7)).tolist())], "fid long, words array<long>")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 100)  # with few, a task's rows of one fingerprint lie together and are compressed
+    try:
+        met = _shuffled(spark, lambda: shingles.near_fingerprints(frame).count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert met < 3000e-6 * 10000
+    rows = [(k, " ".join(_words(f"b{k}", 3000))) for k in range(300)]
+    rows += [(300 + k, rows[k][1] + " end") for k in range(3)]
+    docs = storage.materialize(_rows(spark, rows))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    kept = []
+    try:
+        sent = _shuffled(spark, lambda: kept.extend(x.doc_id for x in corpus_pipeline.deduplicate_near(spark, docs, SF).select("doc_id", "text").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(kept) == list(range(300))
+    assert sent < 0.4 * sum(len(t) for _, t in rows) / 1e6
+
+
+def test_a_bit_table_marks_all_that_is_wanted(spark):
+    keys = np.random.default_rng(10).integers(-(2**63), 2**63, 4000).tolist()
+    rows = spark.createDataFrame([(k,) for k in [*keys, -1, 0, 63, 64]], "k long")
+    for wanted in ([], keys[:300], [-1, 0, 63, 64, keys[0]]):
+        got = storage.marked(rows, "k", spark.createDataFrame([(k,) for k in wanted], "k long"), "maybe")
+        assert got.columns == ["k", "maybe"] and got.count() == 4004
+        marked = {x.k for x in got.where("maybe").collect()}
+        assert set(wanted) <= marked and len(marked) <= len(wanted) + 400
+
+
 def test_trees_of_a_crowded_cell_connect_what_all_pairs_do():
     r = np.random.default_rng(6)
     for share in (0.02, 0.1, 0.7):
