@@ -205,7 +205,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     na, nb = np.bitwise_count(p).sum(axis=1, dtype=np.int64), np.bitwise_count(q).sum(axis=1, dtype=np.int64)
     if not na.sum() or not nb.sum():
         return 0.0
-    here, there = np.zeros(len(p)), np.zeros(len(q))
+    here, there = np.zeros(len(p)), np.full(len(q), -np.inf)  # a best match may share less than chance, either way
     for i in range(len(p)):
         shared = np.bitwise_count(p[i] & q).sum(axis=1, dtype=np.int64)
         chance = na[i] * nb / (FILTER_BYTES * 8)

@@ -401,6 +401,17 @@ def plain_likeness(a, b):
     return min(1.0, max(0.0, sum(p * n for p, n in ways) / sum(n for _, n in ways)))
 
 
+def test_likeness_is_the_same_either_way_where_filters_share_less_than_chance():
+    r, below = np.random.default_rng(1), 0
+    for _ in range(60):
+        a, b = (np.packbits(r.random((r.integers(1, 4), 2048)) < r.choice([0.01, 0.05, 0.3]), axis=1) for _ in range(2))
+        b[0] |= a[0]
+        assert abs(digest.likeness(a, b) - digest.likeness(b, a)) < 1e-12
+        assert abs(digest.likeness(a, b) - plain_likeness(a, b)) < 1e-9
+        below += min(len(a), len(b)) > 1
+    assert below > 10
+
+
 def test_digest_neighbours(spark, docs, odd):
     every = docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10**6)).withColumns({k: F.lit(1) for k in ("h", "range", "extra", "fingerprint", "id", "_text")})
     got = digest.compare_neighbours(every).collect()
